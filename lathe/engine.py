@@ -623,7 +623,7 @@ class Engine:
                 text = (table.column(c).default or "NULL") if text.upper() == "DEFAULT" else text
                 texts.append(f"CAST({self.express(text)} AS {table.column(c).type})")
             out.append(f"SELECT {', '.join(f'{t} AS c{i}' for i, t in enumerate(texts))}")
-        return self.spark.sql(" UNION ALL ".join(out))
+        return self.spark.sql(" UNION ALL ".join(out)).coalesce(1)  # literal rows, kept in order
 
     def _replace(self, items: list[Item]) -> DataFrame:
         return self._insert(items, "replace")
