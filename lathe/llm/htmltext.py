@@ -228,6 +228,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 11) -> list[str]:
 
     def block() -> str:
         kind, m = d.random(), MARK
+        if kind < 0.06:
+            return f"<p>{m}{say(1, 4)}</p>"
         if kind < 0.6:
             return f"<p>{m}{prose()}</p>"
         if kind < 0.66:
