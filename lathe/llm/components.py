@@ -13,10 +13,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among a node and its neighbours, then replaces each label by
     its own label, so a chain of length n needs about log n rounds. Every round is a written table;
-    only a count of changed rows reaches the driver. An empty edge table gives an empty result.
+    only whether a row changed reaches the driver. An empty edge table gives an empty result.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    both = cut(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))

@@ -6,10 +6,10 @@ Bands of eight registers propose candidates; a collision-corrected Jaccard estim
 the wrong ones; the rest are verified on full shingle sets.
 
 Documents with equal sets are one class, represented by its least doc_id, so groups of copies cost
-one node however large they are. Within a bucket of candidates nodes are first compared with one
-centre each (linear in the bucket), components are formed, and only pairs that still lie in
-different components are compared, so no bucket is expanded into all its pairs unless its members
-are really unconnected.
+one node however large they are. Within a bucket of candidates nodes are first compared with the
+bucket's least node (linear in the bucket) and components are formed. Buckets that then still hold
+several components are compared block against block inside tasks: pairs are looked at in place and only
+links leave a task, so a large bucket whose members are not linked never becomes rows of pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ ROWS_PER_BAND = 8
 BANDS = 64
 #: Below the threshold by over five standard errors of an estimate from 256 registers.
 MARGIN = 0.15
+#: Nodes of a bucket that one task holds against as many others.
+BLOCK_NODES = 1024
 #: At most so many ids are broadcast (8 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 100_000
 
@@ -131,28 +133,124 @@ def _likely(batches, least: float):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _linked(batches, percent: int):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        sets = [[np.frombuffer(s, np.uint64) for s in batch.column(i).to_pylist()] for i in (2, 3)]
+        keep = [_similar(x, y, percent) for x, y in zip(*sets, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _in_blocks(batches, width: int):
+    """Rows of one block at a time, as lists of columns; rows come sorted by the first three (band, p, q)."""
+    held: list[list] = [[] for _ in range(width)]
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(width)]
+        for i in range(batch.num_rows):
+            if held[0] and (held[0][-1], held[1][-1], held[2][-1]) != (cols[0][i], cols[1][i], cols[2][i]):
+                yield held
+                held = [[] for _ in range(width)]
+            for h, c in zip(held, cols, strict=True):
+                h.append(c[i])
+    if held[0]:
+        yield held
+
+
+def _partners(batches, percent: int, least: float):
+    """Blocks of an open bucket -> for each node the partners it has to be verified with.
+
+    A pair is looked at in the first band that it shares and there in one block, so nothing is done twice.
+    """
+    for band, p, q, chunk, nodes, labels, sizes, regs in _in_blocks(batches, 8):
+        r = np.frombuffer(b"".join(regs), np.uint16).reshape(len(nodes), REGISTERS)
+        node, label, n = np.array(nodes), np.array(labels), np.array(sizes)
+        keys: dict[int, np.ndarray] = {}
+        own_side = np.array(chunk) == p[0]
+        order = np.flatnonzero(own_side)
+        found: dict[int, list[int]] = {}
+        for k, i in enumerate(order):
+            others = order[k + 1 :] if p[0] == q[0] else np.flatnonzero(~own_side)
+            others = others[(label[others] != label[i]) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent)]
+            if not len(others):
+                continue
+            x = r[others]
+            same = ((x == r[i]) & (r[i] != 0)).sum(axis=1)
+            either = ((x | r[i]) != 0).sum(axis=1)
+            chance = {m: chance_matches(_coarse(n[i]), _coarse(m)) for m in set(n[others].tolist())}
+            sure = (same - np.array([chance[m] for m in n[others].tolist()])) >= least * either
+            for j in others[sure].tolist():
+                for x_ in (i, j):
+                    if x_ not in keys:
+                        keys[x_] = band_keys(r[x_])
+                first = np.flatnonzero(keys[i] == keys[j])[0]
+                if keys[i][first] == band[0]:
+                    found.setdefault(int(i), []).append(int(node[j]))
+                    found.setdefault(j, [])
+        if found:
+            at = list(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([band[0]] * len(at), pa.int64()), pa.array([p[0]] * len(at), pa.int32()), pa.array([q[0]] * len(at), pa.int32()), pa.array(node[at], pa.int64()), pa.array(label[at], pa.int64()), pa.array([found[i] for i in at], pa.list_(pa.int64()))],
+                ["band", "p", "q", "node", "label", "partners"],
+            )
+
+
+def _linked_in_blocks(batches, percent: int):
+    """Partners within a block, verified on full sets; once two components are linked their other pairs are let be."""
+    for _, _, _, nodes, labels, partners, sets in _in_blocks(batches, 7):
+        whole: dict[int, list[np.ndarray]] = {}
+        label = dict(zip(nodes, labels, strict=True))
+        for node, s in zip(nodes, sets, strict=True):
+            whole.setdefault(node, []).append(np.frombuffer(s, np.uint64))
+        root: dict[int, int] = {}
+
+        def find(x: int, root=root) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        links = []
+        for node, own in zip(nodes, partners, strict=True):
+            for other in own:
+                a, b = find(label[node]), find(label[other])
+                if a != b and any(_similar(x, y, percent) for x in whole[node] for y in whole[other]):
+                    root[max(a, b)] = min(a, b)
+                    links.append((min(node, other), max(node, other)))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+
+def _texts(docs: DataFrame, ids: DataFrame, few: bool, k: int) -> DataFrame:
+    """(node, set) of the documents whose id is in ids (doc_id, distinct)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return cut(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, k), "node long, set binary"))
+
+
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that pass the estimate and then the test on full sets."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
     likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
     likely = cut(likely.mapInArrow(lambda x: _likely(x, percent / 100 - MARGIN), "a long, b long"))
-    nodes = cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    chosen = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(chosen, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(lambda x: _sets(x, k), "node long, set binary"))
+    sets = _texts(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * likely.count() <= BROADCAST_IDS, k)
     held = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
     full = likely.join(held("b"), "b").join(held("a"), "a").select("a", "b", "set_a", "set_b")
-    return cut(full.mapInArrow(lambda x: _linked(x, percent), "a long, b long"))
+    return full.mapInArrow(lambda x: _linked(x, percent), "a long, b long")
+
+
+def _verify_open(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between the components of open buckets (band, node, n, label, size)."""
+    blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    rows = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.join(reps.select("node", "regs"), "node").select("band", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "node", "label", "n", "regs")
+    dealt = rows.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    some = cut(dealt.mapInArrow(lambda x: _partners(x, percent, percent / 100 - MARGIN), "band long, p int, q int, node long, label long, partners array<long>"))
+    sets = _texts(docs, some.select(F.col("node").alias("doc_id")).distinct(), some.count() <= BROADCAST_IDS, k)
+    full = some.join(sets, "node").select("band", "p", "q", "node", "label", "partners", "set")
+    full = full.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return full.mapInArrow(lambda x: _linked_in_blocks(x, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -173,29 +271,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     own = W.partitionBy("band")
     bands = bands.select("*", F.count(F.lit(1)).over(own).alias("size"), F.min("node").over(own).alias("centre"))
     bands = cut(bands.filter("size > 1"))
-    near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  a set cannot resemble one that much larger
-
-    first = bands.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    edges = _verify(first, reps, docs, k, percent)
+    first = bands.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    edges = cut(_verify(first, reps, docs, k, percent))
     labels = components(edges)
-    # Other centres, drawn per bucket, for buckets that hold more than one component; then what is left.
-    for last in (False, True):
-        named = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = named.select("*", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("high"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node", "label", "n")).over(own).alias("c"))
-        open_ = cut(open_.filter("low < high AND size > 2").select("band", "node", "n", "label", "centre", "c"))
-        if open_.isEmpty():
-            break
-        if not last:
-            more = open_.filter((F.col("label") != F.col("c.label")) & near(F.col("n"), F.col("c.n")))
-            more = more.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-        else:
-            side = open_.filter("node <> centre AND node <> c.node")
-            x, y = side.alias("x"), side.alias("y")
-            more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near(F.col("x.n"), F.col("y.n")))
-            more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        found = _verify(more, reps, docs, k, percent)
-        edges = edges.union(found)
-        labels = components(edges)
+    named = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = named.select("*", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("high"))
+    open_ = cut(open_.filter("low < high AND size > 2").select("band", "node", "n", "label", "size"))
+    if not open_.isEmpty():
+        found = cut(_verify_open(open_, reps, docs, k, percent))
+        if not found.isEmpty():
+            labels = components(edges.union(found))
 
     rows = every.select("doc_id", "n", "set_key").join(reps.select("set_key", "node"), "set_key", "left").join(labels, "node", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
