@@ -33,7 +33,7 @@ BANDS = 64
 #: Below the threshold by over five standard errors of an estimate from 256 registers.
 MARGIN = 0.15
 #: Nodes of a bucket that one task holds against as many others.
-BLOCK_NODES = 1024
+BLOCK_NODES = 3072
 #: At most so many ids are broadcast (8 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 100_000
 
@@ -275,8 +275,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     edges = cut(_verify(first, reps, docs, k, percent))
     labels = components(edges)
     named = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = named.select("*", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("high"))
-    open_ = cut(open_.filter("low < high AND size > 2").select("band", "node", "n", "label", "size"))
+    # A bucket's centre has been verified with all its members, so it is left out of what follows.
+    rest = named.filter(F.col("node") != F.col("centre"))
+    open_ = rest.select("*", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("high"))
+    open_ = cut(open_.filter("low < high").select("band", "node", "n", "label", "size"))
     if not open_.isEmpty():
         found = cut(_verify_open(open_, reps, docs, k, percent))
         if not found.isEmpty():
