@@ -4,13 +4,17 @@ Texts are words (letters and digits, lower-cased) and their runs of five words.
 SimHash of its weighted shingles. Windows of a document that could reach the similarity have one too;
 a multi-index over eight 16-bit blocks finds every item within the radius: two fingerprints that
 differ in at most 31 bits differ in at most 3 bits of some block, and all such values of each
-block are looked up. Candidates are confirmed by the exact weighted similarity of shingles.
+block are looked up. A similar window can be farther off than the radius (its foreign shingles may
+be heavy or repeated), so items are also looked up by their rarest shingles: a window without any of
+them misses more weight than the threshold allows. No item at the threshold is missed, whatever its
+distance. Candidates are confirmed by the exact weighted similarity of shingles.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 
@@ -27,6 +31,8 @@ RADIUS = 31
 BLOCKS = 8
 #: Items are held against all documents in blocks of so many, each a pass, so what is sent is bounded.
 ITEMS_PER_PASS = 20_000
+#: What rounding may take from a similarity that is exactly the threshold.
+ROUNDING = 1e-9
 _WORDS = re.compile(r"[^\W_]+")
 #: All 16-bit values within Hamming distance 3 of 0: what a block may differ by.
 _FLIPS = np.array([sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in itertools.combinations(range(16), k)], np.uint16)
@@ -72,6 +78,16 @@ class BenchmarkIndex:
         self.least: dict[int, float] = {}
         for n, total in zip(self.lengths, self.totals, strict=True):
             self.least[n] = min(self.least.get(n, total), total)
+        #: for each window size the rarest shingles of its items, heavier together than what may be missing
+        self.rare: defaultdict[int, defaultdict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i, (bag, n, total) in enumerate(zip(self.bags, self.lengths, self.totals, strict=True)):
+            held = 0.0
+            for h, c in sorted(bag.items(), key=lambda x: (df[x[0]], x[0])):
+                self.rare[n][h].append(i)
+                held += c * self.weight[h]
+                if held > (1 - threshold + 1e-6) * total:
+                    break
+        self.rare = {n: dict(own) for n, own in self.rare.items()}
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> np.uint64(44)).astype(np.intp)] = True
         marks = np.concatenate([pack(np.round((signs(s) * self._weights(s)[:, None]).sum(axis=0, keepdims=True, dtype=np.float64), 4)) for _, _, s in own]) if own else np.zeros((0, BLOCKS), np.uint16)
@@ -142,14 +158,19 @@ class BenchmarkIndex:
         ends = np.minimum(starts - low + n, len(part))
         marks = pack(np.round(sums[ends] - sums[starts - low], 4))
         seen: dict[bytes, list] = {}
+        rare = self.rare[n]
+        hits = [(low + p, rare[h]) for p, h in enumerate(part.tolist()) if h in rare]
+        places = [p for p, _ in hits]
         for start, mark in zip(starts.tolist(), marks, strict=True):
             items = seen.get(key := mark.tobytes())
             if items is None:
                 items = seen[key] = self.within(mark)
+            shared = {i for _, own in hits[bisect_left(places, start) : bisect_left(places, start + n)] for i in own}.difference(i for i, _ in items)
+            items = items + [(i, int(np.bitwise_count(self.marks[i] ^ mark).sum())) for i in sorted(shared)]
             bag = Counter(shingles[start : start + n].tolist()) if items else None
             for item, distance in items:
                 s = self.similarity(item, bag)
-                if s >= self.threshold and (item not in best or (s, -distance, -start) > (best[item][0], -best[item][1], -best[item][2])):
+                if s >= self.threshold - ROUNDING and (item not in best or (s, -distance, -start) > (best[item][0], -best[item][1], -best[item][2])):
                     best[item] = (s, distance, start, n + self.k - 1)
 
 
