@@ -193,10 +193,15 @@ class Kind:
     name: str
     pattern: re.Pattern[str]
     surrogate: Callable[[Cipher, str], str]
-    needs: str  # a text without this character or, for digits, any of them holds none
+    needs: str  # the entry of _NEEDS that finds something in every text that holds one
     valid: Callable[[str], bool] = lambda s: True
 
 
+def _some(s: str) -> bool:
+    """Not just a line to fill in."""
+    return any(x.isalnum() for x in s)
+
+
 def _octets(s: str) -> bool:
     return all(int(x) < 256 for x in s.split("."))
 
@@ -209,8 +214,8 @@ def _iban_like(s: str) -> bool:
 #: In order of precedence; group 1 is the entity where a pattern has context.
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])"), email, "@"),
-    Kind("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\b[ \t]*[!#$%&*]*[ \t]*[=:]+[ \t]*[!#$%&*]*[ \t]*[\"']?([\w/+-]{16,})"), secret, "0"),
-    Kind("secret", re.compile(r"\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{36,}|sk_(?:live|test)_\w{16,}|xox[abpr]-[\w-]{10,})"), secret, "0"),
+    Kind("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\b[ \t]*[!#$%&*]*[ \t]*[=:]+[ \t]*[!#$%&*]*[ \t]*[\"']?([\w/+-]{16,})"), secret, "=", _some),
+    Kind("secret", re.compile(r"\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{36,}|sk_(?:live|test)_\w{16,}|xox[abpr]-[\w-]{10,})"), secret, "AKIA", _some),
     Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), iban, "0", _iban_like),
     Kind("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), ipv4, "0", _octets),
     Kind("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), card, "0"),
@@ -219,13 +224,19 @@ KINDS = (
     Kind("name", re.compile(rf"\b(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\b\.?{_FULL}"), name, ""),
     Kind("name", re.compile(rf"(?<!\w)(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}){_FULL}(?!\w)"), name, ""),
 )
-_DIGIT = re.compile(r"[0-9]")
-_MAYBE_NAME = re.compile(rf"\b(?:{'|'.join([*_TITLE_GENDER, *_GENDER])})\b")
+#: Cheap necessary conditions. A secret needs no digit: its sign or its prefix is what every one has.
+_NEEDS = {
+    "@": re.compile("@"),
+    "=": re.compile("[=:]"),
+    "AKIA": re.compile("A[KS]IA|gh[pousr]_|sk_(?:live|test)_|xox[abpr]-"),
+    "0": re.compile(r"\d"),
+    "": re.compile(rf"\b(?:{'|'.join([*_TITLE_GENDER, *_GENDER])})\b"),
+}
 
 
 def entities(text: str) -> list[tuple[int, int, Kind]]:
     """(start, end, kind) of entities in order, without overlaps; earlier kinds come first."""
-    has = {"@": "@" in text, "0": _DIGIT.search(text) is not None, "": _MAYBE_NAME.search(text) is not None}
+    has = {k: p.search(text) is not None for k, p in _NEEDS.items()}
     found: list[tuple[int, int, Kind]] = []
     for kind in KINDS if any(has.values()) else ():
         if has[kind.needs]:
