@@ -34,7 +34,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by surrogates; n_chars follows the new text."""
-    return pii.surrogates(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.checked(pii.surrogates(docs, PII_KEY)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

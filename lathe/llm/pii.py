@@ -4,7 +4,8 @@ Detected entities are replaced by values of their own kind. Digits, letters and
 permuted by a keyed Feistel cipher over all strings of the same shape, names by a keyed permutation
 of the given names of the same gender and script and a cipher over surnames of the same letters.
 Each map is a bijection of its shape: an entity has the same surrogate wherever it occurs and no two
-share one, without a table of all entities. `collisions` checks that over a whole corpus.
+share one, without a table of all entities. Every map is one cycle, so nothing is its own surrogate.
+`collisions` checks over a whole corpus that no two entities share a surrogate; `checked` raises if two do.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -51,21 +54,27 @@ class Cipher:
             digest = hashlib.shake_256(digest).digest(n.bit_length() // 8 + 16)
         return int.from_bytes(digest, "big")
 
-    def permute(self, x: int, n: int, tweak: str) -> int:
-        """Feistel over a * b >= n with cycle walking: a bijection of [0, n)."""
-        if n < 2:
-            return x
+    def _feistel(self, x: int, n: int, tweak: str, back: bool = False) -> int:
+        """Feistel over a * b >= n with cycle walking: a bijection of [0, n), or its inverse."""
         a = isqrt(n - 1) + 1
         b = (n + a - 1) // a
         while True:
             left, right = divmod(x, b)
-            for i in range(0, ROUNDS, 2):
-                left = (left + self._draw(tweak, n, i, right)) % a
-                right = (right + self._draw(tweak, n, i + 1, left)) % b
+            for i in range(ROUNDS - 2, -1, -2) if back else range(0, ROUNDS, 2):
+                if back:
+                    right = (right - self._draw(tweak, n, i + 1, left)) % b
+                    left = (left - self._draw(tweak, n, i, right)) % a
+                else:
+                    left = (left + self._draw(tweak, n, i, right)) % a
+                    right = (right + self._draw(tweak, n, i + 1, left)) % b
             x = left * b + right
             if x < n:
                 return x
 
+    def permute(self, x: int, n: int, tweak: str) -> int:
+        """A bijection of [0, n) that is a single cycle: the next in a keyed order, so never x itself."""
+        return x if n < 2 else self._feistel((self._feistel(x, n, tweak) + 1) % n, n, tweak, back=True)
+
     def string(self, s: str, sets: list[str], tweak: str) -> str:
         """A string whose i-th character is in sets[i] -> another one: a bijection of all such strings."""
         n, x = 1, 0
@@ -80,13 +89,13 @@ class Cipher:
 
     def letters(self, s: str, tweak: str) -> str:
         """Letters among letters of their kind, digits among digits, in lower case; all else stays. Case is put back."""
-        low = s.lower() if len(s.lower()) == len(s) else s
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
         at = [(i, own) for i, c in enumerate(low) if (own := _kind(c))]
         if at:
             new = iter(self.string("".join(low[i] for i, _ in at), [own for _, own in at], f"{tweak}|{''.join('_' if _kind(c) else c for c in low)}"))
             places = {i for i, _ in at}
             low = "".join(next(new) if i in places else c for i, c in enumerate(low))
-        return "".join(c.upper() if o.isupper() and len(c.upper()) == 1 else c for c, o in zip(low, s, strict=True))
+        return "".join(c.upper() if o.isupper() and len(o.lower()) == len(c.upper()) == 1 else c for c, o in zip(low, s, strict=True))
 
     def digits(self, s: str, tweak: str, keep: int = 0) -> str:
         """Digits permuted after the first `keep`, all else in place."""
@@ -100,9 +109,36 @@ class Cipher:
 def _kind(c: str) -> str:
     if c in "0123456789":
         return "0123456789"
+    return _tabled(c) or (_others()[c] if c.isalnum() else "")
+
+
+def _tabled(c: str) -> str:
     return next((s for group in (VOWELS, CONSONANTS) for s in group.values() if c in s), "")
 
 
+@lru_cache(1)
+def _others() -> dict[str, str]:
+    """Each letter, digit or number outside the tables -> those of its script and kind, itself among them.
+
+    Upper case, letters that upper case brings back, and letters it does not are kept apart, so that case can be
+    put back. Kinds of a single character are thrown together within these.
+    """
+    kinds: defaultdict[tuple, list[str]] = defaultdict(list)
+    for i in range(128, 0x110000):
+        c = chr(i)
+        if c.isalnum() and not _tabled(c):
+            if c.isdecimal():
+                kind = ("digit", i - int(c))
+            else:
+                case = "odd" if len(c.lower()) > 1 else "upper" if c.lower() != c else "none" if c.upper() == c else "lower" if len(c.upper()) == 1 and c.upper().lower() == c else "odd"
+                kind = (case, *unicodedata.name(c, "").split("-")[0].split()[:2], unicodedata.category(c)[0], i >> 16, 0x4E00 <= i <= 0x9FFF)
+            kinds[kind].append(c)
+    sets: defaultdict[tuple, str] = defaultdict(str)
+    for kind, cs in kinds.items():
+        sets[kind[:1] if len(cs) == 1 else kind] += "".join(cs)
+    return {c: own for own in sets.values() for c in own}
+
+
 def luhn(digits: str) -> int:
     """The check digit that follows these digits."""
     total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits))))
@@ -155,8 +191,9 @@ def secret(c: Cipher, s: str) -> str:
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         new = c.string(s.lower(), ["0123456789abcdef"] * len(s), "hex")
         return new.upper() if s.isupper() else new
-    head = re.match(r"(?:[a-z]{2,6}_)+|AKIA|ASIA|", s)[0]
-    sets = ["0123456789" if ch in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if ch in "abcdefghijklmnopqrstuvwxyz" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if ch in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else ch for ch in s[len(head) :]]
+    head = re.match(r"gh[pousr]_|sk_(?:live|test)_|xox[abpr]-|AKIA|ASIA|", s)[0]
+    head = head if any(x.isalnum() for x in s[len(head) :]) else ""
+    sets = ["0123456789" if ch in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if ch in "abcdefghijklmnopqrstuvwxyz" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if ch in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else _kind(ch) or ch for ch in s[len(head) :]]
     return head + c.string(s[len(head) :], sets, f"secret|{head}")
 
 
@@ -166,7 +203,10 @@ def _script(word: str) -> str:
 
 
 _GENDER = {n: (script, g) for (script, g), names in GIVEN.items() for n in names}
+#: Given names in lower case -> as they are written.
+_GIVEN = {n.lower(): n for n in _GENDER}
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_KNOWN = {*_GIVEN, *(t.lower() for t in _TITLE_GENDER)}
 
 
 def name(c: Cipher, s: str) -> str:
@@ -176,18 +216,30 @@ def name(c: Cipher, s: str) -> str:
         word = part.rstrip(".")
         if not word.strip() or word in _TITLE_GENDER or len(word) == 1:
             out.append(part)
-        elif word in _GENDER:
-            names = GIVEN[_GENDER[word]]
-            out.append(names[c.permute(names.index(word), len(names), "given|" + "|".join(_GENDER[word]))] + part[len(word) :])
+        elif word.lower() in _GIVEN:
+            given = _GIVEN[word.lower()]
+            names = GIVEN[_GENDER[given]]
+            new = names[c.permute(names.index(given), len(names), "given|" + "|".join(_GENDER[given]))]
+            out.append((new.upper() if word.isupper() else new) + part[len(word) :])
         else:
-            out.append(c.letters(word, f"surname|{_script(word)}") + part[len(word) :])
+            # A surname that comes out as a given name or title would share it: on to the next of the cycle.
+            new = c.letters(word, f"surname|{_script(word)}")
+            while new.lower() in _KNOWN:
+                new = c.letters(new, f"surname|{_script(word)}")
+            out.append(new + part[len(word) :])
     return "".join(out)
 
 
-_WORD = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ][^\W\d_]+(?:['’-][^\W\d_]{2,})?"
+#: Marks that belong to the letter before them, such as vowel signs.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M")
+_REST = rf"[^\W\d_]*(?:[{_MARKS}]+[^\W\d_]*)*"
+_WORD = rf"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ](?:[^\W\d_]|[{_MARKS}]){_REST}(?:['’-][^\W\d_]{{2}}{_REST})?"
 _FULL = rf"(?:[ \t]+(?:[^\W\d_]\.[ \t]+)?{_WORD}){{1,2}}"
 
 
+_TITLE = rf"(?:{'|'.join(_TITLE_GENDER)})\b\.?"
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -202,6 +254,27 @@ def _some(s: str) -> bool:
     return any(x.isalnum() for x in s)
 
 
+def _address(s: str) -> bool:
+    """Something before the last label that is not just signs."""
+    return _some(s.rpartition(".")[0])
+
+
+def _named(s: str) -> bool:
+    """A word besides titles and initials."""
+    return any(len(w) > 1 and w not in _TITLE_GENDER for w in s.replace(".", " ").split())
+
+
+def _numbers(surrogate: Callable[[Cipher, str], str]) -> Callable[[Cipher, str], str]:
+    """Digits of any script: the number's surrogate, in the digits of its first one that is not ASCII."""
+
+    def run(c: Cipher, s: str) -> str:
+        new = surrogate(c, "".join(str(int(x)) if x.isdecimal() else x for x in s))
+        own = next((ord(x) - int(x) for x in s if x.isdecimal() and not x.isascii()), None)
+        return new if own is None else "".join(chr(own + int(x)) if x in "0123456789" else x for x in new)
+
+    return run
+
+
 def _octets(s: str) -> bool:
     return all(int(x) < 256 for x in s.split("."))
 
@@ -213,15 +286,15 @@ def _iban_like(s: str) -> bool:
 
 #: In order of precedence; group 1 is the entity where a pattern has context.
 KINDS = (
-    Kind("email", re.compile(r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])"), email, "@"),
+    Kind("email", re.compile(r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])"), email, "@", _address),
     Kind("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\b[ \t]*[!#$%&*]*[ \t]*[=:]+[ \t]*[!#$%&*]*[ \t]*[\"']?([\w/+-]{16,})"), secret, "=", _some),
     Kind("secret", re.compile(r"\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{36,}|sk_(?:live|test)_\w{16,}|xox[abpr]-[\w-]{10,})"), secret, "AKIA", _some),
-    Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), iban, "0", _iban_like),
-    Kind("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), ipv4, "0", _octets),
-    Kind("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), card, "0"),
-    Kind("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), lambda c, s: c.digits(s, "ssn"), "0"),
-    Kind("phone", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"), phone, "0"),
-    Kind("name", re.compile(rf"\b(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\b\.?{_FULL}"), name, ""),
+    Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _numbers(iban), "0", _iban_like),
+    Kind("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), _numbers(ipv4), "0", _octets),
+    Kind("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), _numbers(card), "0"),
+    Kind("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _numbers(lambda c, s: c.digits(s, "ssn")), "0"),
+    Kind("phone", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"), _numbers(phone), "0"),
+    Kind("name", re.compile(rf"\b{_TITLE}(?:[ \t]+{_TITLE})*{_FULL}"), name, "", _named),
     Kind("name", re.compile(rf"(?<!\w)(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}){_FULL}(?!\w)"), name, ""),
 )
 #: Cheap necessary conditions. A secret needs no digit: its sign or its prefix is what every one has.
@@ -292,3 +365,11 @@ def collisions(replaced: DataFrame) -> DataFrame:
     each = replaced.select(F.explode("pii").alias("p")).select("p.*")
     plain = lambda c: F.when(F.col("kind").isin("phone", "card"), F.regexp_replace(c, r"\D", "")).otherwise(F.lower(c))
     return each.select("kind", plain("surrogate").alias("surrogate"), plain("entity").alias("entity")).distinct().groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).filter("entities > 1")
+
+
+def checked(replaced: DataFrame) -> DataFrame:
+    """replaced, after a pass over all of it has found no surrogate of two entities; raises otherwise."""
+    shared = collisions(replaced).count()
+    if shared:
+        raise ValueError(f"{shared} surrogates stand for more than one entity")
+    return replaced

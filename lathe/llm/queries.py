@@ -43,7 +43,7 @@ PII_KEY = "lathe"
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY).selectExpr("doc_id", "CAST(size(pii) AS BIGINT) AS n_entities", "concat_ws(',', pii.kind) AS kinds", "text")
+    return pii.checked(pii.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)).selectExpr("doc_id", "CAST(size(pii) AS BIGINT) AS n_entities", "concat_ws(',', pii.kind) AS kinds", "text")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

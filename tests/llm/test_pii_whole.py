@@ -24,3 +24,33 @@ def test_secrets_without_digits(text, secret):
 
 def test_a_line_to_fill_in_is_no_secret():
     assert pii.entities("Password: ____________________ 1") == []
+
+
+@pytest.mark.parametrize("text, entity", [
+    ("Dr. 王小明 came", "Dr. 王小明"), ("Mr. כהן came", "Mr. כהן"), ("Prof. محمد came", "Prof. محمد"),
+    ("Dr. कमल came", "Dr. कमल"), ("Dr. शर्मा came", "Dr. शर्मा"), ("Mr. 김철수 came", "Mr. 김철수"),
+    ("Dr. Őű came", "Dr. Őű"), ("Dr. Ğğęą came", "Dr. Ğğęą"), ("Prof. Dr. Müller came", "Prof. Dr. Müller"),
+    ("at 山田@例え.jp now", "山田@例え.jp"), ("at דוד@x.org now", "דוד@x.org"), ("at ő@-.hu now", "ő@-.hu"), ("at İİ@-.tr now", "İİ@-.tr"),
+    ("call +٤٩ ١٥١ ٢٣٤٥٦٧٨ now", "+٤٩ ١٥١ ٢٣٤٥٦٧٨"), ("secret=my_own_secret_key_", "my_own_secret_key_"),
+])
+def test_no_entity_is_its_own_surrogate(text, entity):
+    for key in range(20):
+        new, done = pii.replace(text, pii.Cipher(b"%d" % key))
+        assert [e for _, e, _ in done] == [entity] and entity not in new
+        assert done[0][0] != "name" or entity.split()[-1] not in done[0][2].split()
+        scripts = lambda s: [pii._kind(c.lower() if len(c.lower()) == 1 else c) for c in s]
+        assert done[0][0] == "secret" or scripts(done[0][2]) == scripts(entity)
+
+
+def test_maps_are_one_to_one_without_fixed_points():
+    for n in (2, 3, 10, 257):
+        new = [CIPHER.permute(x, n, "t") for x in range(n)]
+        assert sorted(new) == list(range(n)) and all(x != y for x, y in enumerate(new))
+    assert all(pii.name(CIPHER, f"{n} Li") != f"{n} Li" for ns in pii.GIVEN.values() for n in ns)
+    assert len({CIPHER.letters(a + b, "t") for a in "אבגדה" for b in "אבגדה"}) == 25
+
+
+def test_a_collision_is_raised(spark):
+    shape = "pii array<struct<kind: string, entity: string, surrogate: string>>"
+    with pytest.raises(ValueError, match="1 surrogates"):
+        pii.checked(spark.createDataFrame([([("ip", "1.1.1.1", "9.9.9.9")],), ([("ip", "2.2.2.2", "9.9.9.9")],)], shape))
