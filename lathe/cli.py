@@ -62,7 +62,8 @@ def main(args: list[str] | None = None) -> int:
         with open(a.file) if a.file else _text(a.command) as f:
             result = engine.sql(f.read())
         if result is not None:
-            print(files.render(result, a.format))
+            sys.stdout.writelines(files.pieces(result, a.format))
+            print()
         return 0
     text = ""
     for line in sys.stdin:
