@@ -10,7 +10,7 @@ class Rows:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.counts = np.array([len(i) for i, _ in rows], np.int64)
-        self.cols = np.concatenate([i for i, _ in rows]) if rows else np.empty(0, np.int64)
+        self.cols = np.concatenate([i for i, _ in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
         self.vals = np.concatenate([v for _, v in rows]).astype(np.float64) if rows else np.empty(0)
         self.row = np.repeat(np.arange(len(rows)), self.counts)
         self.n, self.width = len(rows), width
@@ -19,14 +19,15 @@ class Rows:
         """(n,) for a vector, (n, k) for a matrix of k columns."""
         if w.ndim == 2:
             return np.stack([self.dot(w[:, k]) for k in range(w.shape[1])], axis=1)
-        return np.bincount(self.row, self.vals * w[self.cols], self.n)
+        return np.bincount(self.row, self.vals * w[self.cols], self.n).astype(np.float64)
 
     def back(self, g: np.ndarray) -> np.ndarray:
         if g.ndim == 2:
             return np.stack([self.back(g[:, k]) for k in range(g.shape[1])], axis=1)
-        return np.bincount(self.cols, self.vals * g[self.row], self.width)
+        return np.bincount(self.cols, self.vals * g[self.row], self.width).astype(np.float64)
 
     def pick(self, keep: np.ndarray) -> Rows:
+        """The rows that a boolean array keeps."""
         out, inside = object.__new__(Rows), keep[self.row]
         out.counts, out.cols, out.vals = self.counts[keep], self.cols[inside], self.vals[inside]
         out.n, out.width = int(keep.sum()), self.width
@@ -34,6 +35,15 @@ class Rows:
         return out
 
 
+    def among(self, keep: np.ndarray) -> Rows:
+        """The columns that a boolean array keeps, numbered anew."""
+        out, inside = object.__new__(Rows), keep[self.cols]
+        out.cols, out.vals, out.row = (np.cumsum(keep) - 1)[self.cols[inside]], self.vals[inside], self.row[inside]
+        out.n, out.width = self.n, int(keep.sum())
+        out.counts = np.bincount(out.row, minlength=out.n)
+        return out
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -50,7 +60,7 @@ def fit_binary(x: Rows, extra: np.ndarray, y: np.ndarray, l1: float = 1e-4, l2:
     for _ in range(8):
         v = x.back(x.dot(v))
         scale = np.linalg.norm(v) or 1.0
-        v /= scale
+        v = v / scale
     step = 1 / (0.25 * (1.2 * scale / n + float(((extra**2).sum() / n) + 1)) + l2) if x.n else 1 / max(1.0, float(norms.max(initial=1)))
     w, e, b = np.zeros(x.width), np.zeros(extra.shape[1]), 0.0
     pw, pe, pb, t = w, e, b, 1.0
@@ -66,23 +76,6 @@ def fit_binary(x: Rows, extra: np.ndarray, y: np.ndarray, l1: float = 1e-4, l2:
     return w, e, float(b)
 
 
-def fit_relaxed(x: Rows, extra: np.ndarray, y: np.ndarray, l1: float = 8e-3, l2: float = 3e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """A strong l1 penalty chooses columns, a second fit without it weighs them: noisy labels leave no trace in rare columns."""
-    w, e, b = fit_binary(x, extra, y, l1)
-    used = np.flatnonzero(w)
-    if not len(used):
-        return w, e, b
-    to = np.full(x.width, -1)
-    to[used] = np.arange(len(used))
-    inside = to[x.cols] >= 0
-    small = object.__new__(Rows)
-    small.cols, small.vals, small.row, small.n, small.width = to[x.cols[inside]], x.vals[inside], x.row[inside], x.n, len(used)
-    own, e, b = fit_binary(small, extra, y, 0.0, l2, 400)
-    w = np.zeros(x.width)
-    w[used] = own
-    return w, e, b
-
-
 def fit_classes(x: Rows, y: np.ndarray, k: int, l2: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression: weights (width, k) and biases (k,), by accelerated gradient steps."""
     want = np.eye(k)[y]
@@ -91,7 +84,7 @@ def fit_classes(x: Rows, y: np.ndarray, k: int, l2: float = 1e-4, rounds: int =
     for _ in range(8):
         v = x.back(x.dot(v))
         scale = np.linalg.norm(v) or 1.0
-        v /= scale
+        v = v / scale
     step = 1 / (0.5 * (1.2 * scale / max(1, x.n) + 1) + l2)
     w, b = np.zeros((x.width, k)), np.zeros(k)
     pw, pb, t = w, b, 1.0
