@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain as flatten
 
 import numpy as np
 import pyarrow as pa
@@ -50,25 +51,35 @@ def features_of(token: str) -> list[str]:
 
 
 class Lookup(dict):
-    """token -> numbers of its features, remembered; emptied when full so that memory stays bounded."""
+    """token -> numbers of its features, remembered; emptied when full so that memory stays bounded.
+
+    Features are kept by their first three letters and their length: most tokens share no beginning with any.
+    """
 
     LIMIT = 200_000
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.get_number = vocabulary.get
+        self.whole: dict[str, int] = {}
+        self.stems: dict[str, dict[int, dict[str, int]]] = {}
+        for feature, i in vocabulary.items():
+            if feature[-1] == "-" and feature[0].isalpha():
+                self.stems.setdefault(feature[:3], {}).setdefault(len(feature) - 1, {})[feature[:-1]] = i
+            else:
+                self.whole[feature] = i
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
             self.clear()
-        found = self[token] = tuple(i for i in map(self.get_number, features_of(token)) if i is not None)
-        return found
+        found = [self.whole[token]] if token in self.whole else []
+        for n, stems in self.stems.get(token[:3], {}).items():
+            if n < len(token) and token[:n] in stems:
+                found.append(stems[token[:n]])
+        out = self[token] = tuple(found)
+        return out
 
     def row(self, text: str | None) -> np.ndarray:
-        at = set()
-        for token in tokens_of(text):
-            at.update(self[token])
-        return np.array(sorted(at), np.int64)
+        return np.array(sorted(set(flatten.from_iterable(map(self.__getitem__, tokens_of(text))))), np.int64)
 
 
 @dataclass
