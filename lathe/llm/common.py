@@ -18,15 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset in local mode (tests).
+
+    Elsewhere an unset folder is an error: other hosts would not see a folder of this machine.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lathe-shared-")
         sc.setCheckpointDir(base)
     return base
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove all tables that `cut` has written: for the end of a job, once its results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lathe")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/lathe/{uuid.uuid4().hex}"
@@ -34,10 +45,17 @@ def cut(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores put in front until it begins no column's name."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = "_" + name
+    return name
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied when full so that memory stays bounded."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lathe.llm.common import WordHashes, cut, mix64, shingle_hashes
@@ -160,51 +159,53 @@ def _in_blocks(batches, width: int):
         yield held
 
 
-def _partners(batches, percent: int, least: float):
-    """Blocks of an open bucket -> for each node the partners it has to be verified with.
+def _candidates(block, percent: int, least: float):
+    """Pairs (i, j) of positions in a block of an open bucket that have to be verified, one after another.
 
     A pair is looked at in the first band that it shares and there in one block, so nothing is done twice.
     """
-    for band, p, q, chunk, nodes, labels, sizes, regs in _in_blocks(batches, 8):
-        r = np.frombuffer(b"".join(regs), np.uint16).reshape(len(nodes), REGISTERS)
-        node, label, n = np.array(nodes), np.array(labels), np.array(sizes)
-        keys: dict[int, np.ndarray] = {}
-        own_side = np.array(chunk) == p[0]
-        order = np.flatnonzero(own_side)
-        found: dict[int, list[int]] = {}
-        for k, i in enumerate(order):
-            others = order[k + 1 :] if p[0] == q[0] else np.flatnonzero(~own_side)
-            others = others[(label[others] != label[i]) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent)]
-            if not len(others):
-                continue
-            x = r[others]
-            same = ((x == r[i]) & (r[i] != 0)).sum(axis=1)
-            either = ((x | r[i]) != 0).sum(axis=1)
-            chance = {m: chance_matches(_coarse(n[i]), _coarse(m)) for m in set(n[others].tolist())}
-            sure = (same - np.array([chance[m] for m in n[others].tolist()])) >= least * either
-            for j in others[sure].tolist():
-                for x_ in (i, j):
-                    if x_ not in keys:
-                        keys[x_] = band_keys(r[x_])
-                first = np.flatnonzero(keys[i] == keys[j])[0]
-                if keys[i][first] == band[0]:
-                    found.setdefault(int(i), []).append(int(node[j]))
-                    found.setdefault(j, [])
-        if found:
-            at = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([band[0]] * len(at), pa.int64()), pa.array([p[0]] * len(at), pa.int32()), pa.array([q[0]] * len(at), pa.int32()), pa.array(node[at], pa.int64()), pa.array(label[at], pa.int64()), pa.array([found[i] for i in at], pa.list_(pa.int64()))],
-                ["band", "p", "q", "node", "label", "partners"],
-            )
-
-
-def _linked_in_blocks(batches, percent: int):
-    """Partners within a block, verified on full sets; once two components are linked their other pairs are let be."""
-    for _, _, _, nodes, labels, partners, sets in _in_blocks(batches, 7):
-        whole: dict[int, list[np.ndarray]] = {}
-        label = dict(zip(nodes, labels, strict=True))
-        for node, s in zip(nodes, sets, strict=True):
-            whole.setdefault(node, []).append(np.frombuffer(s, np.uint64))
+    band, p, q, chunk, _, labels, sizes, regs = block
+    r = np.frombuffer(b"".join(regs), np.uint16).reshape(len(chunk), REGISTERS)
+    label, n = np.array(labels), np.array(sizes)
+    keys: dict[int, np.ndarray] = {}
+    own_side = np.array(chunk) == p[0]
+    order = np.flatnonzero(own_side)
+    for k, i in enumerate(order.tolist()):
+        others = order[k + 1 :] if p[0] == q[0] else np.flatnonzero(~own_side)
+        others = others[(label[others] != label[i]) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent)]
+        if not len(others):
+            continue
+        x = r[others]
+        same = ((x == r[i]) & (r[i] != 0)).sum(axis=1)
+        either = ((x | r[i]) != 0).sum(axis=1)
+        chance = {m: chance_matches(_coarse(n[i]), _coarse(m)) for m in set(n[others].tolist())}
+        sure = (same - np.array([chance[m] for m in n[others].tolist()])) >= least * either
+        for j in others[sure].tolist():
+            for x_ in (i, j):
+                if x_ not in keys:
+                    keys[x_] = band_keys(r[x_])
+            if keys[i][np.flatnonzero(keys[i] == keys[j])[0]] == band[0]:
+                yield i, j
+
+
+_BLOCK = "band long, p int, q int, chunk int, node long, label long, n long, regs binary"
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+
+def _involved(batches, percent: int, least: float):
+    """The rows of blocks that have something to verify; the pairs themselves never leave the task."""
+    for block in _in_blocks(batches, 8):
+        at = set()
+        for pair in _candidates(block, percent, least):
+            at.update(pair)
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in sorted(at)], t) for c, t in zip(block, _KINDS, strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
+
+
+def _linked_in_blocks(batches, percent: int, pairs):
+    """Candidates within a block, verified on full sets; once two components are linked their other pairs are let be."""
+    for block in _in_blocks(batches, 9):
+        nodes, labels, sets = block[4], block[5], [np.frombuffer(x, np.uint64) for x in block[8]]
         root: dict[int, int] = {}
 
         def find(x: int, root=root) -> int:
@@ -213,74 +214,122 @@ def _linked_in_blocks(batches, percent: int):
             return x
 
         links = []
-        for node, own in zip(nodes, partners, strict=True):
-            for other in own:
-                a, b = find(label[node]), find(label[other])
-                if a != b and any(_similar(x, y, percent) for x in whole[node] for y in whole[other]):
-                    root[max(a, b)] = min(a, b)
-                    links.append((min(node, other), max(node, other)))
+        for i, j in pairs(block[:8]):
+            a, b = find(labels[i]), find(labels[j])
+            if a != b and _similar(sets[i], sets[j], percent):
+                root[max(a, b)] = min(a, b)
+                links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
 
+def _every_pair(block, percent: int):
+    """All pairs of a block whose sizes allow a link, each in one block."""
+    _, p, q, chunk, nodes, _, sizes, _ = block
+    left = [i for i, c in enumerate(chunk) if c == p[0]]
+    right = left if p[0] == q[0] else [i for i, c in enumerate(chunk) if c != p[0]]
+    for i in left:
+        for j in right:
+            if nodes[i] < nodes[j] if left is right else True:
+                if min(sizes[i], sizes[j]) * 100 >= max(sizes[i], sizes[j]) * percent:
+                    yield i, j
+
+
+def _prefixes(batches, percent: int):
+    """A key for each of the least hashes of a set: two sets at the threshold share one of them."""
+    for batch in batches:
+        keys, ids, ns = [], [], []
+        for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(raw, np.uint64)
+            own = own[: len(own) - (percent * len(own) + 99) // 100 + 1].view(np.int64)
+            keys.append(own), ids.append(np.full(len(own), node)), ns.append(np.full(len(own), len(raw) // 8))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (keys, ids, ns)], ["band", "node", "n"])
+
+
 def _texts(docs: DataFrame, ids: DataFrame, few: bool, k: int) -> DataFrame:
     """(node, set) of the documents whose id is in ids (doc_id, distinct)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return cut(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, k), "node long, set binary"))
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, least: float) -> DataFrame:
     """The candidate pairs (a, b) that pass the estimate and then the test on full sets."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
     likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
-    likely = cut(likely.mapInArrow(lambda x: _likely(x, percent / 100 - MARGIN), "a long, b long"))
+    likely = cut(likely.mapInArrow(lambda x: _likely(x, least), "a long, b long"))
     sets = _texts(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * likely.count() <= BROADCAST_IDS, k)
     held = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
     full = likely.join(held("b"), "b").join(held("a"), "a").select("a", "b", "set_a", "set_b")
     return full.mapInArrow(lambda x: _linked(x, percent), "a long, b long")
 
 
-def _verify_open(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between the components of open buckets (band, node, n, label, size)."""
+def _shared(keys: DataFrame) -> DataFrame:
+    """Rows (band, node, n) of buckets with more than one node, with the bucket's size and least node.
+
+    Sizes are counted with map-side aggregation and joined, so that a hot bucket is split by the skew join.
+    """
+    sizes = keys.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1")
+    return keys.join(sizes, "band")
+
+
+def _dealt(open_: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of open buckets (band, node, n, label, size) dealt out as pairs of blocks (p, q)."""
     blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
     rows = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.join(reps.select("node", "regs"), "node").select("band", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "node", "label", "n", "regs")
-    dealt = rows.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-    some = cut(dealt.mapInArrow(lambda x: _partners(x, percent, percent / 100 - MARGIN), "band long, p int, q int, node long, label long, partners array<long>"))
-    sets = _texts(docs, some.select(F.col("node").alias("doc_id")).distinct(), some.count() <= BROADCAST_IDS, k)
-    full = some.join(sets, "node").select("band", "p", "q", "node", "label", "partners", "set")
-    full = full.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-    return full.mapInArrow(lambda x: _linked_in_blocks(x, percent), "a long, b long")
+    rows = rows.join(reps.select("node", "regs"), "node")
+    return rows.select("band", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "node", "label", "n", "regs")
+
 
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+
+def _verify_open(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, exact: bool) -> DataFrame:
+    """Links between the components of open buckets (band, node, n, label, size)."""
+    least = percent / 100 - MARGIN
+    rows = _dealt(open_, reps)
+    if not exact:
+        rows = _by_block(rows).mapInArrow(lambda x: _involved(x, percent, least), _BLOCK)
+    some = cut(rows)
+    sets = _texts(docs, some.select(F.col("node").alias("doc_id")).distinct(), some.count() <= BROADCAST_IDS, k).dropDuplicates(["node"])
+    full = _by_block(some.join(sets, "node").select("band", "p", "q", "chunk", "node", "label", "n", "regs", "set"))
+    pairs = (lambda block: _every_pair(block, percent)) if exact else (lambda block: _candidates(block, percent, least))
+    return full.mapInArrow(lambda x: _linked_in_blocks(x, percent, pairs), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are not read).
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of word shingles;
     component_id is the least doc_id reachable and kept says that it is the row's own. Texts that are
     null or without words have no shingles, are linked with nothing and kept. Rows with a null
     doc_id take no part: component_id null, kept true. Repeated rows of a doc_id share a component.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Whole texts of any length are read.
+
+    exact: buckets are the least hashes of each set (any two linked sets share one) in place of bands,
+    and nothing is left to the estimate, so that no link is missed; common shingles make it slower.
     """
     k = shingle_words
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     every = cut(ids.mapInArrow(lambda x: _sketches(x, k), "doc_id long, n long, set_key binary, regs binary"))
     least = every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "regs")).alias("r"))
     reps = cut(least.select("set_key", F.col("r.doc_id").alias("node"), F.col("r.n").alias("n"), F.col("r.regs").alias("regs")))
-    bands = reps.select("node", "n", "regs").mapInArrow(_bands, "band long, node long, n long")
-    own = W.partitionBy("band")
-    bands = bands.select("*", F.count(F.lit(1)).over(own).alias("size"), F.min("node").over(own).alias("centre"))
-    bands = cut(bands.filter("size > 1"))
+    if exact:
+        keys = _texts(docs, reps.select(F.col("node").alias("doc_id")), False, k).dropDuplicates(["node"]).mapInArrow(lambda x: _prefixes(x, percent), "band long, node long, n long")
+    else:
+        keys = reps.select("node", "n", "regs").mapInArrow(_bands, "band long, node long, n long")
+    bands = cut(_shared(keys))
     first = bands.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    edges = cut(_verify(first, reps, docs, k, percent))
+    edges = cut(_verify(first, reps, docs, k, percent, -1.0 if exact else percent / 100 - MARGIN))
     labels = components(edges)
     named = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # A bucket's centre has been verified with all its members, so it is left out of what follows.
     rest = named.filter(F.col("node") != F.col("centre"))
-    open_ = rest.select("*", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("high"))
-    open_ = cut(open_.filter("low < high").select("band", "node", "n", "label", "size"))
+    wide = rest.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
+    open_ = cut(rest.join(wide, "band").select("band", "node", "n", "label", "size"))
     if not open_.isEmpty():
-        found = cut(_verify_open(open_, reps, docs, k, percent))
+        found = cut(_verify_open(open_, reps, docs, k, percent, exact))
         if not found.isEmpty():
             labels = components(edges.union(found))
 
@@ -293,7 +342,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 def without_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all columns, that stay if of each group of linked documents the one of least doc_id does.
 
-    Rows without words or without doc_id stay. Of rows that repeat a doc_id one stays: the first in order of text.
+    Rows without words or without doc_id stay. Of rows that repeat a doc_id one stays: the first in
+    order of text. Null, empty and long texts and empty tables are as in near_duplicates; columns may have any name.
     """
     verdicts = cut(near_duplicates(docs, shingle_words, percent))
     gone = verdicts.filter("NOT kept").select("doc_id").distinct()
@@ -304,6 +354,8 @@ def without_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     if again.isEmpty():
         return rest
     few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    order = W.partitionBy("doc_id").orderBy("text")
-    one = rest.join(few, "doc_id", "left_semi").select("*", F.row_number().over(order).alias("_place")).filter("_place = 1")
-    return rest.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    # The least row by text: pre-aggregated, so that a doc_id with a third of all rows is no single task.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = rest.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text", *others), F.struct("text", F.to_json(F.struct("text", *others)))).alias("r"))
+    one = least.select(*(F.col("doc_id") if c == "doc_id" else F.col("r")[c].alias(c) for c in docs.columns))
+    return rest.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(one)

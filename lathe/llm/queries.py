@@ -110,6 +110,37 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(m.taken, 0)::BIGINT A
 FROM q LEFT JOIN m ON q.doc_id = m.doc_id AND q.k = m.k AND q.s = m.s AND q.size = m.size
 """
 
+_NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+    ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingle
+  FROM w
+), c AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(md5(shingle), '' ORDER BY md5(shingle))) AS whole FROM s GROUP BY doc_id
+), r AS (
+  SELECT min(doc_id) AS node, any_value(n) AS n, whole FROM c GROUP BY whole
+), t AS (
+  SELECT node, n, shingle FROM r JOIN s ON s.doc_id = r.node
+), x AS (
+  SELECT a.node AS a, b.node AS b, a.n AS n, b.n AS m, count(*) AS shared
+  FROM t a JOIN t b ON a.shingle = b.shingle AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY ALL
+), e AS (
+  SELECT a, b FROM x WHERE 100 * shared >= 80 * (n + m - shared)
+), g AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), p(node, reach) AS (
+  SELECT node, node FROM r UNION SELECT p.node, g.b FROM p JOIN g ON p.reach = g.a
+), l AS (
+  SELECT node, min(reach) AS label FROM p GROUP BY node
+)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(l.label, d.doc_id) AS component_id, coalesce(l.label, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN r ON r.whole = c.whole LEFT JOIN l ON l.node = r.node
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _WARC, "op9_mix": _MIX}
+    return {"op2_warc": _WARC, "op5_minhash": _NEAR, "op9_mix": _MIX}

@@ -69,6 +69,33 @@ def test_near_duplicates(spark, k):
     assert all(got[i]["n_shingles"] == sizes[i] and got[i]["kept"] == (want[i] == i) for i in want)
 
 
+def test_near_duplicates_exact_way(spark):
+    """Keys that every linked pair shares find the same components as the bands do, on documents with many copies."""
+    docs = table(spark, DATA, "documents").limit(150)
+    for k in (2, 5):
+        bands, exact = ({r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, k, exact=e).collect()} for e in (False, True))
+        assert bands == exact
+    rows = [(i, " ".join(prose(i % 4, 25).split()[: 22 + i % 3])) for i in range(40)] + [(100, ""), (101, None), (102, "one")]
+    want, _ = brute_components(rows, 2, 80)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, rows), 2, exact=True).collect()} == want
+
+
+def test_bands_miss_no_pair_at_the_threshold():
+    """Of random pairs of similarity 0.80 to 0.85 all share a band and pass the estimate."""
+    d = np.random.default_rng(7)
+    missed = tried = 0
+    for n in (10, 60, 150, 400, 1500):
+        for _ in range(300):
+            common = int(np.ceil(2 * n / (1 + 1 / (0.8 + 0.05 * d.random()))))
+            own = n - common if 0.8 <= common / (2 * n - common) <= 0.85 else common // 9
+            pool = d.integers(0, 2**64, common + 2 * own, dtype=np.uint64)
+            a, b = np.sort(pool[: common + own]), np.sort(np.concatenate((pool[:common], pool[common + own :])))
+            x, y = minhash.sketch(a), minhash.sketch(b)
+            tried += 1
+            missed += not ((minhash.band_keys(x) == minhash.band_keys(y)).any() and minhash.estimate(x, y, len(a), len(b)) >= 0.8 - minhash.MARGIN)
+    assert tried == 1500 and missed == 0
+
+
 def test_near_duplicates_chain_in_one_bucket(spark):
     """A chain of small edits is one component although its ends differ; the block comparison finds what one centre misses."""
     words = prose(5, 120).split()
@@ -88,6 +115,8 @@ def test_near_duplicates_odd(spark):
     assert by[1][1:] == (0, 1, True) and by[3][1:] == (0, 3, True) and by[5][1:] == (1, 4, False)
     assert by[7][2] == 7 and by[8][2] == 7 and by[None][2:] == (None, True)
     assert minhash.near_duplicates(documents(spark, []), 2).count() == 0
+    clash = minhash.without_duplicates(documents(spark, ODD).selectExpr("*", "1 AS _place", "2 AS kept", "3 AS r", "4 AS component_id"), 2)
+    assert clash.columns[-4:] == ["_place", "kept", "r", "component_id"] and clash.count() == 7
     kept = minhash.without_duplicates(documents(spark, ODD), 2)
     assert kept.columns == documents(spark, []).columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
