@@ -430,10 +430,27 @@ def test_mixing(spark, monkeypatch):
     assert {(r["doc_id"], r["taken"]) for r in got} == {(r["doc_id"], r["taken"]) for r in again}
 
 
+def test_cut_is_found_in_ranges_of_ranges(spark, monkeypatch):
+    rows = [(i, prose(i, i % 40), f"s{i % 3}") for i in range(400)]
+    runs = []
+    for ranges, exact in ((mixing.RANGES, mixing.EXACT_ROWS), (2, 3)):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        monkeypatch.setattr(mixing, "EXACT_ROWS", exact)
+        runs.append(sorted((r["doc_id"], r["taken"]) for r in mixing.mix_sources(documents(spark, rows)).collect()))
+    assert runs[0] == runs[1]
+
+
 def test_mixing_odd(spark):
     got = mixing.mix_sources(documents(spark, ODD, extra=True)).collect()
     assert len(got) == len(ODD) and {r["taken"] for r in got if r["size"] == 0} == {0}
     assert mixing.mix_sources(documents(spark, [])).count() == 0
+    clash = mixing.mix_sources(documents(spark, ODD).selectExpr("*", "1 AS _mix_before", "2 AS _mix_size", "3 AS target", "4 AS finish", "5 AS turn"))
+    assert clash.columns == [*documents(spark, []).columns, "_mix_before", "_mix_size", "finish", "turn", "size", "source_size", "target", "taken"]
+    assert {(r["_mix_before"], r["_mix_size"], r["finish"]) for r in clash.collect()} == {(1, 2, 4)}
+    # Rows of equal doc_id, source and size but other texts keep their words whatever order they come in.
+    rows = [(1, f"{w} b c", "x") for w in "defgh"] + [(2, "a b c d", "y")]
+    runs = [sorted((r["text"], r["taken"]) for r in mixing.mix_sources(documents(spark, x)).collect()) for x in (rows, rows[::-1])]
+    assert runs[0] == runs[1]
     assert [r["taken"] for r in mixing.mix_sources(documents(spark, [(1, "a b c d")])).collect()] == [6]
     assert [r["taken"] for r in mixing.mix_sources(documents(spark, [(1, "")])).collect()] == [0]
 
