@@ -14,10 +14,12 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from ipaddress import IPv6Address
 from math import isqrt
 
 import pyarrow as pa
@@ -162,9 +164,9 @@ def phone(c: Cipher, s: str) -> str:
 
 
 def card(c: Cipher, s: str) -> str:
-    """All digits but the last permuted; the last is as far from the check digit as before, so valid stays valid."""
+    """All digits but the last permuted, the first among issuers'; the last is as far from the check digit as before, so valid stays valid."""
     digits = re.sub(r"\D", "", s)
-    body = c.string(digits[:-1], ["0123456789"] * (len(digits) - 1), "card")
+    body = c.string(digits[:-1], ["23456" if digits[0] in "23456" else "01789", *["0123456789"] * (len(digits) - 2)], "card")
     new = iter(body + str((luhn(body) + int(digits[-1]) - luhn(digits[:-1])) % 10))
     return "".join(next(new) if ch.isdigit() else ch for ch in s)
 
@@ -177,6 +179,13 @@ def ipv4(c: Cipher, s: str) -> str:
     return ".".join(str(n >> k & 255) for k in (24, 16, 8, 0))
 
 
+def ipv6(c: Cipher, s: str) -> str:
+    """The address permuted as a number, however it is written; its groups are written out where the entity's are."""
+    new = IPv6Address(c.permute(int(IPv6Address(s)), 1 << 128, "ipv6"))
+    out = str(new) if "::" in s else ":".join(f"{int(g, 16):x}" for g in new.exploded.split(":"))
+    return out.upper() if s.isupper() else out
+
+
 def iban(c: Cipher, s: str) -> str:
     """Country kept, check digits made valid again."""
     plain = s.replace(" ", "").upper()
@@ -279,6 +288,24 @@ def _octets(s: str) -> bool:
     return all(int(x) < 256 for x in s.split("."))
 
 
+def _ipv6_like(s: str) -> bool:
+    try:
+        return len(s) >= 7 and any(x.isdigit() for x in s) and IPv6Address(s) is not None
+    except ValueError:
+        return False
+
+
+def _card_like(s: str) -> bool:
+    """An issuer's first digit, and the check digit that belongs to the others."""
+    digits = "".join(str(int(x)) for x in s if x.isdecimal())
+    return digits[0] in "23456" and luhn(digits[:-1]) == int(digits[-1])
+
+
+def _secret_like(s: str) -> bool:
+    """A short value counts if it has letters and digits: plain words follow such names in prose too."""
+    return _some(s) and (len(s) >= 16 or (any(x.isdigit() for x in s) and any(x.isalpha() for x in s)))
+
+
 def _iban_like(s: str) -> bool:
     s = s.replace(" ", "")
     return 15 <= len(s) <= 34 and int("".join(str(int(x, 36)) for x in s[4:] + s[:4])) % 97 == 1
@@ -287,14 +314,15 @@ def _iban_like(s: str) -> bool:
 #: In order of precedence; group 1 is the entity where a pattern has context.
 KINDS = (
     Kind("email", re.compile(r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w-])"), email, "@", _address),
-    Kind("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\b[ \t]*[!#$%&*]*[ \t]*[=:]+[ \t]*[!#$%&*]*[ \t]*[\"']?([\w/+-]{16,})"), secret, "=", _some),
+    Kind("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\b[ \t]*+[!#$%&*]*+[ \t]*+[=:]++[ \t]*+[!#$%&*]*+[ \t]*+[\"']?([\w/+-]{8,})"), secret, "=", _secret_like),
     Kind("secret", re.compile(r"\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{36,}|sk_(?:live|test)_\w{16,}|xox[abpr]-[\w-]{10,})"), secret, "AKIA", _some),
     Kind("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _numbers(iban), "0", _iban_like),
     Kind("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), _numbers(ipv4), "0", _octets),
-    Kind("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), _numbers(card), "0"),
+    Kind("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?:[0-9A-Fa-f]{1,4}|(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)"), ipv6, "=", _ipv6_like),
+    Kind("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), _numbers(card), "0", _card_like),
     Kind("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _numbers(lambda c, s: c.digits(s, "ssn")), "0"),
     Kind("phone", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"), _numbers(phone), "0"),
-    Kind("name", re.compile(rf"\b{_TITLE}(?:[ \t]+{_TITLE})*{_FULL}"), name, "", _named),
+    Kind("name", re.compile(rf"\b{_TITLE}(?:[ \t]+{_TITLE}){{0,4}}{_FULL}"), name, "", _named),
     Kind("name", re.compile(rf"(?<!\w)(?:{'|'.join(n for ns in GIVEN.values() for n in ns)}){_FULL}(?!\w)"), name, ""),
 )
 #: Cheap necessary conditions. A secret needs no digit: its sign or its prefix is what every one has.
@@ -308,16 +336,22 @@ _NEEDS = {
 
 
 def entities(text: str) -> list[tuple[int, int, Kind]]:
-    """(start, end, kind) of entities in order, without overlaps; earlier kinds come first."""
+    """(start, end, kind) of entities in order, without overlaps: of two that overlap the earlier kind holds, then the first.
+
+    The time grows with the text and its entities: taken spans are kept in order and found by bisection.
+    """
     has = {k: p.search(text) is not None for k, p in _NEEDS.items()}
-    found: list[tuple[int, int, Kind]] = []
+    starts: list[int] = []
+    taken: list[tuple[int, int, Kind]] = []
     for kind in KINDS if any(has.values()) else ():
         if has[kind.needs]:
             for m in kind.pattern.finditer(text):
                 start, end = m.span(1) if m.re.groups else m.span()
-                if kind.valid(text[start:end]) and not any(s < end and start < e for s, e, _ in found):
-                    found.append((start, end, kind))
-    return sorted(found, key=lambda x: x[:2])
+                at = bisect_left(starts, end)  # the last span that begins before the end is the only one to overlap
+                if (not at or taken[at - 1][1] <= start) and kind.valid(text[start:end]):
+                    starts.insert(at, start)
+                    taken.insert(at, (start, end, kind))
+    return taken
 
 
 def replace(text: str, cipher: Cipher) -> tuple[str, list[tuple[str, str, str]]]:
@@ -337,8 +371,10 @@ _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("s
 def surrogates(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """All columns of docs with `column` replaced, and pii: array of (kind, entity, surrogate) in text order.
 
-    A null text stays null with an empty array; a column named pii is replaced. Texts are treated each
-    by itself, so there is no shuffle, and equal entities get equal surrogates under equal keys.
+    A null text stays null and an empty one empty, with an empty array; a column named pii is replaced,
+    others may have any name. Texts are treated whole, however long, and each by itself, so there is no
+    shuffle, repeated rows give repeated results, an empty table an empty one, and equal entities get
+    equal surrogates under equal keys. Where entities overlap see `entities`.
     """
     own = docs.drop("pii")
     fields = own.schema.fields

@@ -1,8 +1,12 @@
 """Personal data that a narrower reading would leave in clear."""
 
+import random
+import time
+
 import pytest
 
-from lathe.llm import pii
+from lathe.llm import pii, queries
+from lathe.llm.common import table
 
 CIPHER = pii.Cipher(b"k")
 
@@ -54,3 +58,69 @@ def test_a_collision_is_raised(spark):
     shape = "pii array<struct<kind: string, entity: string, surrogate: string>>"
     with pytest.raises(ValueError, match="1 surrogates"):
         pii.checked(spark.createDataFrame([([("ip", "1.1.1.1", "9.9.9.9")],), ([("ip", "2.2.2.2", "9.9.9.9")],)], shape))
+
+
+def naive(text):
+    """All matches of all kinds, the earlier kind first; one that overlaps a match taken before is left out."""
+    taken = []
+    for kind in pii.KINDS:
+        for m in kind.pattern.finditer(text):
+            span = m.span(1) if m.re.groups else m.span()
+            if kind.valid(text[span[0] : span[1]]) and all(span[1] <= s or e <= span[0] for s, e, _ in taken):
+                taken.append((*span, kind))
+    return sorted(taken, key=lambda x: x[:2])
+
+
+def test_query_against_naive_detection(spark):
+    """The registered query over whole tables: every text is replaced where a plain search of all patterns finds something."""
+    data = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in table(spark, data, "documents").collect()}
+    got = queries.op8_pii(spark, data).collect()
+    assert len(got) == len(texts)
+    cipher = pii.Cipher(queries.PII_KEY.encode())
+    for r in got:
+        text, new, at = texts[r["doc_id"]], "", 0
+        found = naive(text)
+        for start, end, kind in found:
+            new, at = new + text[at:start] + kind.surrogate(cipher, text[start:end]), end
+        assert r["text"] == new + text[at:] and r["n_entities"] == len(found)
+
+
+def test_planted_entities_are_found_and_nothing_else():
+    d = random.Random(4)
+    digits = lambda n: "".join(d.choice("0123456789") for _ in range(n))
+    for _ in range(200):
+        body = d.choice("3456") + digits(14)
+        wrong = body + str((pii.luhn(body) + d.randint(1, 9)) % 10)
+        planted = [
+            ("email", f"{d.choice('abc')}{digits(2)}.x@mail{digits(1)}.example.com"), ("card", body + str(pii.luhn(body))), ("phone", f"+1 ({digits(3)}) 555-{digits(4)}"),
+            ("ip", ".".join(str(d.randint(0, 255)) for _ in range(4))), ("ip", ":".join(f"{d.randint(0, 65535):x}" for _ in range(7)) + ":1"), ("ip", f"2001:db8::{d.randint(4096, 65535):x}"),
+            ("ssn", f"{digits(3)}-{digits(2)}-{digits(4)}"), ("name", f"Mr. {d.choice(['Brown', 'Keller'])}"),
+        ]
+        d.shuffle(planted)
+        text = " and ".join(e for _, e in planted) + f" but not {wrong}, 12:30:45, std::vector, a version 1.2.3, token of love, password: required"
+        new, done = pii.replace(text, CIPHER)
+        assert [(k, e) for k, e, _ in done] == planted
+        assert not any(e in new for _, e in planted) and wrong in new
+        # A surrogate is an entity of the same kind again.
+        assert [k for k, _, _ in pii.replace(new, CIPHER)[1]] == [k for k, _ in planted]
+
+
+@pytest.mark.parametrize("text, secret", [("password = hunter22x", "hunter22x"), ("pwd:Sup3rSafe", "Sup3rSafe")])
+def test_short_passwords(text, secret):
+    assert [(k, e) for k, e, _ in pii.replace(text, CIPHER)[1]] == [("secret", secret)]
+
+
+def test_ipv6_is_one_entity_however_written():
+    a, b = (pii.replace(f"at {x} now", CIPHER)[1][0][2] for x in ("2001:db8::8a2e:370", "2001:DB8:0:0:0:0:8A2E:0370"))
+    assert pii.IPv6Address(a) == pii.IPv6Address(b) != pii.IPv6Address("2001:db8::8a2e:370") and b.isupper()
+
+
+@pytest.mark.parametrize("text", [
+    "mail a1.b@mail.example.com and 10.1.2.3, " * 20_000, "token" + " " * 1_000_000, "Dr. " * 250_000, "a@" + "b." * 500_000,
+    "1" * 1_000_000, "ab:" * 300_000, "password = " * 90_000, "DE12 " * 200_000, "+1 " * 300_000, "Anna " * 200_000, "x" * 1_000_000,
+], ids=range(11))
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    pii.entities(text)
+    assert time.process_time() - began < 4
