@@ -149,11 +149,22 @@ def test_leaks(spark):
     assert all(k[0] % 100 == k[1] and k[0] // 100 in (0, 2) for k in got)
     for i in range(12):
         assert got[i, i]["similarity"] == 1 and got[i, i]["distance"] == 0 and got[i, i]["first_word"] == 50
-    # Passes over blocks of items find the same.
+    # Passes over blocks of items find the same, with the same similarities and distances.
     again = decontaminate.find_leaks(documents(spark, rows), bench, items_per_pass=5)
-    assert {(r["doc_id"], r["item_id"]) for r in again.collect()} == got.keys()
-    clean = decontaminate.without_leaks(documents(spark, rows), bench)
-    assert {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {k[0] for k in got}
+    assert {(r["doc_id"], r["item_id"]): r for r in again.collect()} == got
+    for size in (20_000, 5):
+        clean = decontaminate.without_leaks(documents(spark, rows, extra=True), bench, items_per_pass=size)
+        assert {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {k[0] for k in got}
+
+
+def test_leaks_of_items_that_share_text(spark):
+    """Weights count the whole benchmark: an item whose rare half is missing is no leak, in passes of any size."""
+    common = prose(77, 20)
+    items = [(i, common + " " + prose(i, 12)) for i in range(9)]
+    rows = [(1, prose(50, 30) + " " + common + " " + prose(51, 30)), (2, "x " + items[4][1] + " y"), (3, None), (4, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, passes = (sorted(map(tuple, decontaminate.find_leaks(documents(spark, rows), bench, items_per_pass=p).collect())) for p in (100, 2))
+    assert one == passes and [r[:3] for r in one] == [(2, 4, 1.0)]
 
 
 def test_multi_index_finds_all_within_radius():
