@@ -266,27 +266,75 @@ def test_prefix_hashes():
             assert x.common(i, y, j) == common
 
 
+def alike(a, b):
+    return fingerprints.likeness(*(fingerprints.PrefixHash(fingerprints.code_points(t)) for t in (a, b)))
+
+
 def test_likeness():
+    t = prose(1, 3000)
+    assert alike(t, t) == 1 and alike("", "") == 1 and alike("", "a") == 0 and alike("a", "") == 0 and alike("a", "b") == 0
+    assert abs(alike(t, fingerprints.edited(t, prose(2, 9000))) - 0.5) < 0.03
+    other = "".join(chr(0x4E00 + random.Random(3).randrange(i + 1)) for i in range(9000))
+    assert alike(t, other) == 0 and alike(other, t) == 0
+    assert abs(alike(t, t[: len(t) // 4]) - 0.25) < 0.001
+    # One code point put in or taken out anywhere, an edit in every hundred, a passage that moved.
+    for u in ("Z" + t, t[1:], t[:700] + "Z" + t[700:], t[:700] + t[701:]):
+        assert 0.999 < alike(t, u) < 1 and alike(t, u) == alike(u, t)
+    many = "".join(c + ("#" if i % 100 == 50 else "") for i, c in enumerate(t))
+    assert 0.98 < alike(t, many) < 1
+    assert 0.95 < alike(t, t[8000:] + t[:8000]) < 1
+    assert alike("abcdefghij" * 500, "Z" + "abcdefghij" * 500) > 0.999
+
+
+def test_likeness_against_matching_blocks():
+    """On short texts with a few edits: not more than the longest common subsequence, and close to it."""
+    d = random.Random(6)
+    for _ in range(150):
+        a = "".join(d.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(d.randint(30, 300)))
+        b = list(a)
+        edits = d.randint(0, 3)
+        for _ in range(edits):
+            i = d.randrange(len(b))
+            b[i : i + d.randint(0, 2)] = d.choice(["", "X", "YZ"])
+        b = "".join(b)
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        best = row[-1] / max(len(a), len(b))
+        got = alike(a, b)
+        assert got <= best + 1e-9 and (got == 1) == (a == b)
+        assert got > best - (edits * (fingerprints.RESUME + 4) + 1) / max(len(a), len(b))
+
+
+def test_stored_fingerprints():
     t = prose(1, 3000)
     f = fingerprints.fingerprint
-    assert fingerprints.likeness(f(t), f(t)) == 1 and fingerprints.likeness(f(""), f("")) == 1 and fingerprints.likeness(f(""), f("a")) == 0
-    assert abs(fingerprints.likeness(f(t), f(fingerprints.edited(t, prose(2, 9000)))) - 0.5) < 0.03
-    assert fingerprints.likeness(f(t), f(prose(3, 3000))) == 0
-    assert 0.2 < fingerprints.likeness(f(t), f(t[: len(t) // 4])) < 0.27
+    assert fingerprints.stored_likeness(f(t), f(t)) == 1 and fingerprints.stored_likeness(f(""), f("a")) == 0
+    assert abs(fingerprints.stored_likeness(f(t), f(fingerprints.edited(t, prose(2, 9000)))) - 0.5) < 0.03
+    for u in (t, t[:5000], t[:5000] + "other", prose(2, 3000), "", t[:5000] + "x" * 90_000):
+        common = next((i for i, (a, b) in enumerate(zip(t, u)) if a != b), min(len(t), len(u)))
+        size = max(fingerprints.unpack(f(x))[1] for x in (t, u))
+        assert fingerprints.common_beginning(f(t), f(u)) == (common if t == u else common // size * size)
 
 
 @pytest.mark.parametrize("stretch", [3, 10_000])
 def test_edited_texts(spark, monkeypatch, stretch):
+    """Small stretches cut repeated and missing doc_ids too."""
     monkeypatch.setattr(fingerprints, "STRETCH_ROWS", stretch)
-    rows = [(i * 3, prose(i, i % 9) if i % 5 else None) for i in range(40)] + [(None, "last"), (6, "tie"), (6, "tie two"), (117, prose(8, 20_000))]
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    rows = [(i * 3, prose(i, i % 9) if i % 5 else None) for i in range(40)] + [(None, "last"), (6, "tie"), (6, "tie two"), (117, prose(8, 20_000)), (-(2**63), "least"), (2**63 - 1, "most")]
+    rows += [(None, f"lost {i}") for i in range(9)] + [(60, f"again {i % 11}") for i in range(25)]
+    ties = {r["text"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), ties[r[1] or ""], r[1] or ""))
     want = []
     for k, (i, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
+        new = t[: len(t) - half] + nxt[:half]
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), alike(t, new), alike(t, nxt)))
     got = fingerprints.edit_fingerprints(documents(spark, rows, extra=True)).collect()
-    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_chars"], r["edited_sha256"])) for r in got)
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"])) for r in got)
     assert fingerprints.edit_fingerprints(documents(spark, [])).count() == 0
     one = fingerprints.edit_fingerprints(documents(spark, [(1, "abcd")])).first()
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1
