@@ -96,7 +96,7 @@ class Forest:
         for at in reversed(self.levels[1:]):
             up[at] = np.logaddexp(edge[at, :, 0] + got[at, None, 0], edge[at, :, 1] + got[at, None, 1])
             for s in (0, 1):
-                got[:, s] += np.bincount(self.parent[at], up[at, s], self.n)
+                np.add.at(got[:, s], self.parent[at], up[at, s])  # not a sum over all nodes: a deep tree has many levels
         down = np.zeros((self.n, 2))
         joint = np.zeros((self.n, 2, 2))
         for at in self.levels[1:]:
@@ -290,8 +290,9 @@ def default_model() -> PageModel:
 def extract_text(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html).
 
-    A null or empty html has an empty text. Repeated rows give repeated results; other columns are not read; an
-    empty table gives an empty result. Pages are judged by themselves, so there is no shuffle.
+    A null or empty html has an empty text, a broken one what `dom.parse` reads in it; a page of any length or
+    depth is read whole, in time that grows with it. Repeated rows give repeated results; other columns are not
+    read; an empty table gives an empty result. Pages are judged by themselves, so there is no shuffle.
     """
     model = model or default_model()  # trained once on the driver; some hundred weights go along with the tasks
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import shutil
+import time
 
 import duckdb
 import numpy as np
@@ -406,6 +407,28 @@ def test_html_odd(spark):
     assert htmltext.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html", ["<a " * 330_000, '<a "' * 250_000, "<!" * 500_000, "<p" * 500_000, "<svg>" * 200_000, "<script" * 150_000, "<script></script " * 60_000, "<!--" * 250_000, "</p" * 330_000,
+                                  "<div>" * 50_000 + "</p>" * 50_000, "<div>" * 50_000 + "<li></li>" * 50_000, "<div>x" * 50_000, "<p>word " * 100_000], ids=range(13))
+def test_broken_pages_take_linear_time(html):
+    model = htmltext.default_model()
+    began = time.process_time()
+    model.extract([html])
+    assert time.process_time() - began < 12
+
+
+def test_blocks_of_a_page():
+    from lathe.llm.dom import parse
+
+    texts = lambda html: [t for t in parse(html).text if t]
+    assert texts("<p>so <math><mi>x</mi>=<mn>2</mn></math> holds") == ["so x=2 holds"]
+    assert texts("<p>a <object>b</object> <canvas>c</canvas> d</p>") == ["a b c d"]
+    assert texts("<p>a <svg><text>b</text></svg> c</p><noscript><p>on</p></noscript><template>t</template><p>d") == ["a c", "d"]
+    # Left open, a skipped element ends at the next block and a raw one with the page.
+    assert texts("<p>a <svg> b</p><p>c") == ["a", "c"] and texts("<p>a<noscript>b<div>c</div>") == ["a", "c"]
+    assert texts("<p>a<script>b<p>c") == ["a"] and texts("<title>t</title><p>a</TITLE >b") == ["ab"]
+    assert texts('<p title="1 > 0">a</p>') == ["a"] and texts("<p title=it's>a</p>") == ["a"] and texts("1 < 2 <3") == ["1 < 2 <3"]
+
+
 # Licenses -------------------------------------------------------------------------------------------
 def test_licenses(spark):
     notices = {"mit": "Released under the MIT License.", "apache": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "cc-by": "Licensed under CC BY 4.0.", "lgpl": "Released under the GNU LGPL version 2.1.", "proprietary": "All rights reserved."}
