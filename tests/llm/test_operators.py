@@ -587,6 +587,40 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_query_with_the_words_of_all_pages(spark):
+    """The registered query against counts, splits and scores worked out plainly."""
+    pages = table(spark, DATA, "pages").collect()
+    counts: dict = {}
+    for p in pages:
+        for w in re.findall(r"[^\W\d_]+", re.sub(r"<[^>]*>", " ", p["html"] or "").lower()):
+            counts[w] = counts.get(w, 0) + 1
+    known = sorted(((w, c) for w, c in counts.items() if c >= urls.LEAST_COUNT), key=lambda x: (-x[1], x[0]))[: urls.MOST_WORDS]
+    model = urls.UrlModel(dict(known))
+    want = {}
+    for p in pages:
+        host, path, rule = brute_url(p["url"])
+        words = model.tokens(host, path)
+        score = model.prior + sum(model.weight.get(w, 0.0) for w in words)
+        want[p["page_id"]] = (rule and rule[0] + rule[1], rule[2] if rule else "block" if score > 0 else "allow", " ".join(words))
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["words"]) for r in queries.op10_urls(spark, DATA).collect()}
+    assert got == want
+
+
+def test_url_model_on_held_out_urls():
+    model = urls.default_model()
+    held = urls.labelled_urls(2000, seed=99)
+    right = sum((model.score(model.tokens(h, p)) > 0) == block for h, p, block in held)
+    assert right / len(held) > 0.95
+    # Weights are those of the counts of the labelled urls.
+    seen = {c: [t for h, p, b in urls.labelled_urls() if b == c for t in model.tokens(h, p)] for c in (True, False)}
+    words = {*seen[True], *seen[False]}
+    for w in ("casino", "library", "the"):
+        odds = [(seen[c].count(w) + 1) / (len(seen[c]) + len(words)) for c in (True, False)]
+        assert model.weight[w] == pytest.approx(math.log(odds[0] / odds[1]))
+    for host, block in (("cheappills.example.com", True), ("www.best-casino.com", True), ("freebets.com", True), ("citylibrary.example.com", False), ("m.sportnews.com", False), ("tionsh.example.com", False), ("blog.therhe.example.org", False)):
+        assert (model.score(model.tokens(host, "/en/1")) > 0) == block, host
+
+
 def test_viterbi_against_brute_force():
     model = urls.default_model()
 
