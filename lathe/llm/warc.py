@@ -90,21 +90,29 @@ def split_http(body: bytes) -> tuple[bytes, bytes]:
     return b"", body
 
 
+def record_id(kind: str, what: str, digest: str) -> str:
+    """The same for the same record whenever it is made, so that a revisit can name its response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}|{what}|{digest}')}>"
+
+
 def warc_record(record: dict, refers_to: int | None = None, page_id: int | None = None) -> bytes:
-    """The WARC 1.1 record of a parsed ARC record; refers_to makes it a revisit without payload."""
+    """The WARC 1.1 record of a parsed ARC record; refers_to, a page of the same payload, makes it a revisit without payload.
+
+    The identifier of a page's record comes from page_id and payload, else from url, date and payload.
+    """
     http, payload = split_http(record["body"])
     d = str(record["date"]).ljust(14, "0")
     digest = sha1_base32(payload)
     block = http if refers_to is not None else record["body"]
     kind = "revisit" if refers_to is not None else "response"
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind}|{record['url']}|{d}|{page_id}|{digest}")
+    ident = record_id(kind, f"{record['url']}|{d}" if page_id is None else f"page {page_id}", digest)
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{ident}>", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
         f"WARC-Target-URI: {record['url']}", f"WARC-IP-Address: {record['ip']}", "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT}", f"X-Refers-To-Page: {refers_to}", "WARC-Truncated: length"]
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id('response', f'page {refers_to}', digest)}", f"X-Refers-To-Page: {refers_to}", "WARC-Truncated: length"]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     lines.append(f"Content-Length: {len(block)}")
@@ -188,7 +196,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, version: int | None =
     Of records with equal payloads of at least least_bytes bytes those with the smallest page_id are
     responses and the others revisit it; rows that repeat that page_id are responses too, and so are
     rows without a page_id. A null html is an empty payload, a null url an empty one. version: of
-    the ARC files, by turns if None. Other columns are not read.
+    the ARC files, by turns if None. Other columns are not read; an empty table gives an empty folder.
+    A file is one gzip stream: it has to be read from its beginning.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))

@@ -355,6 +355,10 @@ def test_arc_to_warc(version):
     assert data == b"".join(warc.warc_record(r, None, i) for i, r in enumerate(records))  # ids depend on the record alone
     with pytest.raises(ValueError):
         list(warc.parse_arc(arc[:-40]))
+    # A revisit names the record of its response.
+    first, again = records[0], {**records[0], "url": "http://y", "date": "20250102030405"}
+    heads = [next(warc.parse_warc(warc.warc_record(r, ref, page)))[0] for r, ref, page in ((first, None, 1), (again, 1, 2))]
+    assert heads[1]["warc-refers-to"] == heads[0]["warc-record-id"] != heads[1]["warc-record-id"]
 
 
 def test_archives(spark, monkeypatch):
