@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; `run` writes each
 stage's result as Parquet in the shared folder and reads it back as the next one's docs. All stages but
 the last return the columns of documents; the last adds size, source_size, target and taken.
+
+In every stage null and empty texts are no error: they are not toxic, have no copies, hold no benchmark
+item and no personal data, and stay until the mix, which takes nothing of a text without words. Texts are
+read whole, however long. Rows that repeat a doc_id are judged by their own texts; one of them stays. Rows
+without doc_id stay. An empty table gives an empty one. Further columns are passed on under any name, but
+those named size, source_size, target and taken are replaced by the mix.
 """
 
 from __future__ import annotations
