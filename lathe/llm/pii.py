@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lathe.llm.common import cut
+
 # Given names by script and gender.
 GIVEN = {
     ("latin", "f"): "Alice Amelia Anna Barbara Camille Carmen Caroline Catherine Charlotte Chiara Christine Claudia Daniela Elena Elisabeth Emily Emma Eva Fatima Francesca Gabriela Hannah Helena Ingrid Isabella Jennifer Jessica Johanna Julia Katharina Laura Linda Lucia Margaret Maria Martina Mary Michelle Monika Nicole Olivia Patricia Petra Rachel Sabine Sandra Sarah Silvia Sofia Sophie Stephanie Susan Teresa Ursula Valentina Victoria".split(),
@@ -404,7 +406,8 @@ def collisions(replaced: DataFrame) -> DataFrame:
 
 
 def checked(replaced: DataFrame) -> DataFrame:
-    """replaced, after a pass over all of it has found no surrogate of two entities; raises otherwise."""
+    """replaced, written, after a pass over all its entities has found no surrogate of two; raises otherwise."""
+    replaced = cut(replaced)
     shared = collisions(replaced).count()
     if shared:
         raise ValueError(f"{shared} surrogates stand for more than one entity")
