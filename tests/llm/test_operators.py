@@ -591,15 +591,19 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
-def test_url_query_with_the_words_of_all_pages(spark):
+@pytest.mark.parametrize("most", [urls.MOST_WORDS, 50])
+def test_url_query_with_the_words_of_all_pages(spark, monkeypatch, most):
     """The registered query against counts, splits and scores worked out plainly."""
+    monkeypatch.setattr(urls, "MOST_WORDS", most)
     pages = table(spark, DATA, "pages").collect()
     counts: dict = {}
     for p in pages:
         for w in re.findall(r"[^\W\d_]+", re.sub(r"<[^>]*>", " ", p["html"] or "").lower()):
             counts[w] = counts.get(w, 0) + 1
-    known = sorted(((w, c) for w, c in counts.items() if c >= urls.LEAST_COUNT), key=lambda x: (-x[1], x[0]))[: urls.MOST_WORDS]
-    model = urls.UrlModel(dict(known))
+    known = {w: c for w, c in counts.items() if c >= urls.LEAST_COUNT}
+    known = {w: c for w, c in known.items() if sum(x >= c for x in known.values()) <= most}
+    assert known
+    model = urls.UrlModel(known)
     want = {}
     for p in pages:
         host, path, rule = brute_url(p["url"])
