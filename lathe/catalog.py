@@ -1,14 +1,13 @@
 """Tables as versioned Parquet snapshots, with constraints and the other definitions a database holds.
 
-A statement that changes a table writes a new snapshot directory and points the table at it; directories are
-never changed, so readers and open transactions keep the version they saw. A transaction is a copy of the
+A snapshot is a list of directories. INSERT adds a directory, other statements that change a table write a new one
+and point the table at it; directories are never changed, so readers and open transactions keep the version they saw. A transaction is a copy of the
 definitions (which name snapshots), not of the data.
 """
 
 from __future__ import annotations
 
 import copy
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -17,6 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lathe.lexer import SqlError
+from lathe.session import shared_dir
+
+
+#: A snapshot of more directories is written as one.
+MOST_PARTS = 64
 
 
 class ConstraintError(SqlError):
@@ -50,7 +54,7 @@ class Table:
     unique: list[tuple[str, list[str]]] = field(default_factory=list)
     checks: list[tuple[str, str]] = field(default_factory=list)
     foreign: list[ForeignKey] = field(default_factory=list)
-    path: str | None = None
+    paths: list[str] = field(default_factory=list)  # directories of the snapshot, oldest first
     next_id: int = 1
 
     def column(self, name: str) -> Column:
@@ -101,7 +105,7 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, location: str | None = None):
         self.spark = spark
-        self.location = location or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lathe-tables-")
+        self.location = location or shared_dir(spark)
         self.state = State()
         self.stack: list[tuple[str | None, State]] = []
 
@@ -116,16 +120,27 @@ class Catalog:
         return T.StructType([T.StructField(c.name, T._parse_datatype_string(c.type)) for c in table.columns])
 
     def read(self, table: Table) -> DataFrame:
-        if table.path is None:
+        if not table.paths:
             return self.spark.createDataFrame([], self.schema(table))
-        return self.spark.read.schema(self.schema(table)).parquet(table.path)
+        return self.spark.read.schema(self.schema(table)).parquet(*table.paths)
 
-    def write(self, table: Table, rows: DataFrame) -> None:
-        """A new snapshot of the table from rows in its column order."""
+    def part(self, table: Table, rows: DataFrame) -> tuple[str, DataFrame]:
+        """rows written to a directory that may become part of a snapshot, and read back."""
         path = f"{self.location}/tables/{table.name.lower()}/{uuid.uuid4().hex}"
         typed = rows.select(*[F.col(f"`{c.name}`").cast(c.type).alias(c.name) for c in table.columns])
         typed.write.parquet(path)
-        table.path = path
+        return path, self.spark.read.schema(self.schema(table)).parquet(path)
+
+    def write(self, table: Table, rows: DataFrame) -> None:
+        """A new snapshot of the table from rows in its column order."""
+        table.paths = [self.part(table, rows)[0]]
+        self.publish(table)
+
+    def append(self, table: Table, path: str) -> None:
+        """A new snapshot: the directories of the old one and another. Many small ones are written as one."""
+        table.paths = [*table.paths, path]
+        if len(table.paths) > MOST_PARTS:
+            table.paths = [self.part(table, self.read(table))[0]]
         self.publish(table)
 
     def publish(self, table: Table) -> None:
@@ -137,6 +152,19 @@ class Catalog:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def numbered(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows, written once, with a column that counts them from 1 in their order; only partitions' sizes reach the driver."""
+        kept = self.temporary(rows.withColumn("_at", F.monotonically_increasing_id()))
+        part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+        before, starts = 0, []
+        for r in sizes:
+            starts.append((r["_part"], before))
+            before += r["n"]
+        first = self.spark.createDataFrame(starts, "_part long, _before long")
+        placed = kept.withColumn("_part", part).join(F.broadcast(first), "_part")  # a row per partition of the rows
+        return placed.withColumn(name, F.col("_before") + place + 1).drop("_part", "_before", "_at")
+
     def republish(self, before: State) -> None:
         for name in before.tables.keys() | before.views.keys():
             if name not in self.state.tables and name not in self.state.views:
@@ -191,20 +219,20 @@ class Catalog:
             if counts[i]:
                 raise ConstraintError(f"{counts[i]} rows of {table.name} violate: {what}")
 
-    def check_keys(self, table: Table, rows: DataFrame) -> None:
-        """PRIMARY KEY and UNIQUE over all rows of the table; a key with a NULL is never a duplicate."""
+    def check_keys(self, table: Table, rows: DataFrame, old: DataFrame | None = None) -> None:
+        """PRIMARY KEY and UNIQUE over all rows, or over rows that join the old ones, which are free of duplicates. A key with a NULL is never a duplicate."""
         for key in table.keys():
             cols = [F.col(f"`{c}`") for c in key]
-            known = rows
-            for c in cols:
-                known = known.filter(c.isNotNull())
-            if not known.groupBy(*cols).count().filter("count > 1").isEmpty():
+            known = rows.select(*cols).na.drop()
+            twice = known.groupBy(*cols).count().filter("count > 1")
+            if not twice.isEmpty() or old is not None and not known.join(old.select(*cols), list(key), "left_semi").isEmpty():
                 raise ConstraintError(f"duplicate key ({', '.join(key)}) in {table.name}")
 
-    def check_references(self, table: Table, rows: DataFrame) -> None:
-        """Every foreign key without NULL has its row; a table that refers to itself sees the rows too."""
+    def check_references(self, table: Table, rows: DataFrame, old: DataFrame | None = None) -> None:
+        """Every foreign key of rows without NULL has its row; a table that refers to itself sees the rows and the old ones too."""
         for fk in table.foreign:
-            target = rows if fk.table.lower() == table.name.lower() else self.read(self.table(fk.table))
+            own_rows = rows if old is None else old.unionByName(rows)
+            target = own_rows if fk.table.lower() == table.name.lower() else self.read(self.table(fk.table))
             own = rows.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(fk.columns)]).na.drop()
             there = target.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(fk.targets)])
             if not own.join(there, [f"k{i}" for i in range(len(fk.columns))], "left_anti").isEmpty():

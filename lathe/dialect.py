@@ -204,10 +204,16 @@ class Rewriter:
         return 0
 
     def _left(self, out: list[Item]) -> list[Item]:
-        """Take the operand that ends out: back to a keyword that cannot be part of it."""
+        """Take the operand that ends out: back to a keyword that cannot be part of it; a CASE goes with its END."""
         k = len(out)
         while k and out[k - 1].up not in _STARTS and out[k - 1].up not in _COMPARE:
             k -= 1
+            depth = int(out[k].up == "END")
+            while depth:
+                k -= 1
+                if k < 0:
+                    raise SqlError("END without CASE")
+                depth += {"END": 1, "CASE": -1}.get(out[k].up, 0)
         left = out[k:]
         del out[k:]
         if not left:

@@ -27,12 +27,13 @@ class Writer:
             raise SqlError(f"{len(columns)} columns and {len(given.columns)} values")
         names = [table.column(c).name for c in columns]
         rows = given.toDF(*names)
+        if any(c.auto for c in table.columns):
+            rows = self.catalog.numbered(rows, "_number")
         exprs = []
         for c in table.columns:
             value = F.col(q(c.name)) if c.name in names else F.expr(self.express(c.default)) if c.default is not None else F.lit(None)
             if c.auto:
-                order = Window.orderBy(F.monotonically_increasing_id())
-                value = F.coalesce(value, F.row_number().over(order) + (table.next_id - 1))
+                value = F.coalesce(value, F.col("_number") + (table.next_id - 1))
             exprs.append(value.cast(c.type).alias(c.name))
         return rows.select(*exprs)
 
@@ -40,7 +41,7 @@ class Writer:
         """on_conflict: error, ignore, replace or update (with updates: column -> expression over old columns and VALUES(c))."""
         catalog = self.catalog
         rows = self.fire(table, "BEFORE", "INSERT", None, catalog.temporary(rows))
-        rows = catalog.temporary(rows)
+        path, rows = catalog.part(table, rows)
         n = rows.count()
         old = catalog.read(table)
         catalog.check_rows(table, rows, self.express)
@@ -53,8 +54,8 @@ class Writer:
                     has_null = F.greatest(*[F.col(q(c)).isNull().cast("int") for c in key]) == 1 if len(key) > 1 else F.col(q(key[0])).isNull()
                     added = added.withColumn("_n", F.row_number().over(first)).filter((F.col("_n") == 1) | has_null).drop("_n")
                     added = added.join(old.select(*key), key, "left_anti").select(*table.names)
+                path, added = catalog.part(table, added)
                 n = added.count()
-                result = old.unionByName(added)
             elif on_conflict == "replace":
                 for key in keys:
                     last = Window.partitionBy(*map(q, key)).orderBy(F.monotonically_increasing_id().desc())
@@ -63,17 +64,26 @@ class Writer:
                 result = old.unionByName(added)
             else:
                 result = self._upsert(table, old, rows, keys[0], updates or {})
+        if on_conflict in ("error", "ignore") or not keys:
+            # Only new rows are written and checked; of the old ones only key columns are read.
+            catalog.check_keys(table, added, old)
+            catalog.check_references(table, added, old)
+            self._count_on(table, rows)
+            catalog.append(table, path)
         else:
-            result = old.unionByName(rows)
-        result = catalog.temporary(result)
-        catalog.check_keys(table, result)
-        catalog.check_references(table, result)
+            result = catalog.temporary(result)
+            catalog.check_keys(table, result)
+            catalog.check_references(table, result)
+            self._count_on(table, rows)
+            catalog.write(table, result)
+        self.fire(table, "AFTER", "INSERT", None, added)
+        return n
+
+    @staticmethod
+    def _count_on(table: Table, rows: DataFrame) -> None:
         for c in table.columns:
             if c.auto:
                 table.next_id = max(table.next_id, (rows.agg(F.max(q(c.name))).first()[0] or 0) + 1)
-        catalog.write(table, result)
-        self.fire(table, "AFTER", "INSERT", None, added)
-        return n
 
     def _upsert(self, table: Table, old: DataFrame, rows: DataFrame, key: list[str], updates: dict[str, str]) -> DataFrame:
         new = rows.select(*[F.col(q(c)).alias(f"new_{c}") for c in table.names])
@@ -100,20 +110,21 @@ class Writer:
     def update(self, table: Table, sets: dict[str, str], where: str | None = None, alias: str | None = None) -> int:
         catalog = self.catalog
         extra = [f"CAST({self._value(table, c, e)} AS {table.column(c).type}) AS `_set_{table.column(c).name}`" for c, e in sets.items()]
-        rows = catalog.temporary(self._flagged(table, alias, where, extra))
+        # Old and new rows are told apart by a number that is written with them.
+        rows = catalog.temporary(self._flagged(table, alias, where, [*extra, "monotonically_increasing_id() AS _row"]))
         hits = rows.filter("_hit")
         n = hits.count()
         if not n:
             return 0
         changed_columns = {table.column(c).name for c in sets}
         new_of = lambda c: F.col(q(f"_set_{c}")) if c in changed_columns else F.col(q(c))
-        old_rows = hits.select(*table.names)
-        new_rows = hits.select(*[new_of(c).alias(c) for c in table.names])
+        old_rows = hits.select(*table.names, "_row")
+        new_rows = hits.select(*[new_of(c).alias(c) for c in table.names], "_row")
         fired = self.fire(table, "BEFORE", "UPDATE", old_rows, new_rows, changed_columns)
         if fired is not new_rows:
             new_rows = catalog.temporary(fired)
         catalog.check_rows(table, new_rows, self.express)
-        result = catalog.temporary(rows.filter("NOT _hit").select(*table.names).unionByName(new_rows))
+        result = catalog.temporary(rows.filter("NOT _hit").select(*table.names).unionByName(new_rows.select(*table.names)))
         catalog.check_keys(table, result)
         pairs = hits.select(*[F.col(q(c)).alias(f"old_{c}") for c in table.names], *[new_of(c).alias(f"new_{c}") for c in table.names])
         for child, fk in catalog.children(table):

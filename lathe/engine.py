@@ -186,6 +186,12 @@ class Engine:
         if domain and (checks := [x for p, x in zip(parse(domain), parse(domain)[1:], strict=False) if p.up == "CHECK"]):
             swap = lambda xs: [Group(swap(x.items)) if isinstance(x, Group) else part[0] if x.up == "VALUE" else x for x in xs]
             table.checks += [("", text_of(swap(c.items))) for c in checks]
+        if domain:
+            words = parse(domain)
+            column.nullable = not any(p.up == "NOT" and x.up == "NULL" for p, x in zip(words, words[1:], strict=False))
+            if (at := next((j for j, x in enumerate(words) if x.up == "DEFAULT"), None)) is not None:
+                end = next((j for j in range(at + 2, len(words)) if words[j].up in stops), len(words))
+                column.default = text_of(words[at + 1 : end])
         table.columns.append(column)
         while k < len(part):
             word = part[k].up
@@ -544,7 +550,7 @@ class Engine:
 
     def _describe(self, items: list[Item]) -> DataFrame:
         table = self.catalog.table(name_of(items[-1]))
-        return self.spark.createDataFrame([(c.name, c.type, c.nullable and c.name not in table.primary, c.default) for c in table.columns], "column string, type string, nullable boolean, default string")
+        return self.spark.createDataFrame([(c.name, c.type.lower(), c.nullable and c.name not in table.primary, c.default) for c in table.columns], "column string, type string, nullable boolean, default string")
 
     _desc = _describe
 
@@ -695,8 +701,8 @@ class Engine:
             for _ in range(times):
                 self.statement(s)
             return new
-        parts = [d.select(*[F.col(f"`{c}`").alias(f"{p}_{c}") for c in table.names]) for p, d in (("new", new), ("old", old)) if d is not None]
-        rows = parts[0] if len(parts) == 1 else self._side_by_side(*parts)
+        parts = [d.select(*[F.col(f"`{c}`").alias(f"{p}_{c}") for c in table.names], *(["_row"] if "_row" in d.columns else [])) for p, d in (("new", new), ("old", old)) if d is not None]
+        rows = parts[0] if len(parts) == 1 else parts[0].join(parts[1], "_row")
         view = f"trigger_rows_{self._depth}"
         self.catalog.temporary(rows).createOrReplaceTempView(view)
         named = lambda xs: parse(text_of(_transition(xs)))
@@ -707,7 +713,7 @@ class Engine:
             when = self.express(text_of(named(parse(t.when)))) if t.when else "true"
             column = table.column(target)
             flat = self.spark.table(view).withColumn(f"new_{column.name}", F.expr(f"CASE WHEN {when} THEN {value} ELSE new_{column.name} END").cast(column.type))
-            return flat.select(*[F.col(f"new_{c}").alias(c) for c in table.names])
+            return flat.select(*[F.col(f"new_{c}").alias(c) for c in table.names], *(["_row"] if "_row" in flat.columns else []))
         if s[0].up == "INSERT":
             at = next((k for k, x in enumerate(s) if x.up == "VALUES"), None)
             if at is None:
@@ -721,15 +727,6 @@ class Engine:
             return new
         raise SqlError("a row trigger may only INSERT or SET with NEW and OLD")
 
-    @staticmethod
-    def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
-        """NEW and OLD of an UPDATE are two projections of the same written rows, so their order agrees."""
-        from pyspark.sql import Window
-
-        order = Window.orderBy(F.monotonically_increasing_id())
-        n = lambda d: d.withColumn("_row", F.row_number().over(order))
-        return n(a).join(n(b), "_row").drop("_row")
-
     # Persistence --------------------------------------------------------------------------------
 
     def save(self, path: str) -> None:

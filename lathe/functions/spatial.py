@@ -5,6 +5,7 @@ Any NULL argument gives NULL. Each batch parses each distinct text once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -52,8 +53,25 @@ def _with_srid(text: str, srid: int) -> str:
     return f"SRID={int(srid)};{G.to_wkt(_geo(text))}"
 
 
+#: Fixed value: the mean radius of the earth in metres.
+EARTH_RADIUS = 6_371_008.8
+
+
+def _metres(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """Great-circle distance of two points (longitude, latitude in degrees), by the haversine formula."""
+    (x, y), (u, v) = (tuple(map(math.radians, p)) for p in (a, b))
+    h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+    return 2 * EARTH_RADIUS * math.asin(min(1.0, math.sqrt(h)))
+
+
 def _within(a: str, b: str, d: float) -> bool:
-    return d >= 0 and G.distance(_geo(a), _geo(b)) <= d
+    """Two points are held against a distance in metres, other pairs against one in the units of their coordinates."""
+    if d < 0:
+        return False
+    (kind, p), (other, q) = _geo(a), _geo(b)
+    if kind == other == "POINT" and p is not None and q is not None:
+        return _metres(p, q) <= d
+    return G.distance(_geo(a), _geo(b)) <= d
 
 
 def _two(f: Callable) -> Callable[[str, str], object]:

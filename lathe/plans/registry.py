@@ -6,6 +6,7 @@ the same rows beside it where the spelling differs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,8 @@ _ORACLES: dict[str, str] = {}
 def sql(name: str, text: str, oracle: str | None = None, raw: bool = False) -> None:
     """Register a text; the oracle is the same text unless given. raw: Spark SQL that is not rewritten."""
     spark_text = text if raw else rewrite(text)
-    used = [t for t in TABLES if t in text.lower()]
+    words = set(re.findall(r"\w+", text.lower()))
+    used = [t for t in TABLES if t in words]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, *used)
@@ -39,7 +41,7 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def _load() -> None:
-    from lathe.plans import functions, relational, stateful, tpch  # noqa: F401
+    from lathe.plans import covered, functions, relational, stateful, tpch  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -23,7 +23,7 @@ sql("pred_between", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 12 O
 sql("pred_between_symmetric", "SELECT p_partkey FROM part WHERE p_size BETWEEN SYMMETRIC 12 AND 10", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 12")
 sql("pred_in", "SELECT n_name, n_regionkey IN (1, 2, NULL) AS i, n_regionkey NOT IN (1, 2, NULL) AS ni FROM nation")
 sql("pred_in_empty", "SELECT n_name FROM nation WHERE n_nationkey NOT IN () AND NOT n_nationkey IN ()", "SELECT n_name FROM nation")
-sql("pred_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_' OR p_name NOT LIKE 'p%'")
+sql("pred_like", "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%M_' OR p_type NOT LIKE 'S%' AND p_brand LIKE 'Brand#_' AND p_brand NOT LIKE '%1'")
 sql("pred_null", "SELECT o_orderkey, CASE WHEN nullif(o_orderstatus, 'F') IS NULL THEN 1 ELSE 0 END AS f, nullif(o_orderstatus, 'F') IS NOT NULL AS nf FROM orders")
 sql("pred_three_valued", "SELECT n_nationkey, (nullif(n_regionkey, 1) > 2 AND n_nationkey > 5) AS a, (nullif(n_regionkey, 1) > 2 OR n_nationkey > 5) AS o, NOT (nullif(n_regionkey, 1) > 2) AS n FROM nation")
 sql("case_searched", "SELECT l_returnflag, CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' ELSE 'high' END AS band, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -113,4 +113,5 @@ sql("set_left_associative", "SELECT n_nationkey AS k FROM nation WHERE n_nationk
 _WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}*]+'), lambda w: strlen(w) >= 3)"
 sql("fulltext_natural", "SELECT doc_id FROM documents WHERE MATCH(text) AGAINST ('license thorough stupid')", f"SELECT doc_id FROM documents WHERE list_has_any({_WORDS}, ['license', 'thorough', 'stupid'])")
 sql("fulltext_boolean", "SELECT doc_id FROM documents WHERE MATCH(text) AGAINST ('+license -apache \"general public\"' IN BOOLEAN MODE)", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND NOT contains(lower(text), 'apache')")
+sql("fulltext_boolean_optional", """SELECT doc_id FROM documents WHERE MATCH(text) AGAINST ('"public license" apache -stupid' IN BOOLEAN MODE)""", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'public license') OR contains(lower(text), 'apache')) AND NOT contains(lower(text), 'stupid')")
 sql("fulltext_expansion", "SELECT doc_id FROM documents WHERE MATCH(text) AGAINST ('moron clown' WITH QUERY EXPANSION)", f"SELECT doc_id FROM documents WHERE list_has_any({_WORDS}, ['moron', 'clown'])")

@@ -66,8 +66,8 @@ def _spatial(name: str, text: str, oracle: str | None = None) -> None:
 _P, _SQ = "concat('POINT(', n_nationkey, ' ', n_regionkey, ')')", "'POLYGON((2 1, 12 1, 12 3, 2 3, 2 1))'"
 _spatial("spatial_predicates", f"SELECT n_nationkey, ST_Contains({_SQ}, {_P}) AS c, ST_Intersects({_SQ}, {_P}) AS i, ST_Touches({_P}, {_SQ}) AS t, ST_Disjoint({_P}, {_SQ}) AS d FROM nation",
          "SELECT n_nationkey, n_nationkey > 2 AND n_nationkey < 12 AND n_regionkey > 1 AND n_regionkey < 3 AS c, i, i AND NOT (n_nationkey > 2 AND n_nationkey < 12 AND n_regionkey > 1 AND n_regionkey < 3) AS t, NOT i AS d FROM (SELECT *, n_nationkey BETWEEN 2 AND 12 AND n_regionkey BETWEEN 1 AND 3 AS i FROM nation)")
-_spatial("spatial_measures", f"SELECT n_nationkey, ROUND(ST_Distance({_P}, 'POINT(3 4)'), 9) AS d, ST_X({_P}) AS x, ST_Y({_P}) AS y, ST_Area({_SQ}) AS a, ST_Perimeter({_SQ}) AS p, ST_Length('LINESTRING(0 0, 3 4)') AS l, ST_AsText(ST_Centroid({_SQ})) AS c, ST_DWithin({_P}, 'POINT(0 0)', 5) AS w FROM nation",
-         "SELECT n_nationkey, round(sqrt(power(n_nationkey - 3, 2) + power(n_regionkey - 4, 2)), 9) AS d, CAST(n_nationkey AS DOUBLE) AS x, CAST(n_regionkey AS DOUBLE) AS y, 20.0::DOUBLE AS a, 24.0::DOUBLE AS p, 5.0::DOUBLE AS l, 'POINT(7 2)' AS c, power(n_nationkey, 2) + power(n_regionkey, 2) <= 25 AS w FROM nation")
+_spatial("spatial_measures", f"SELECT n_nationkey, ROUND(ST_Distance({_P}, 'POINT(3 4)'), 9) AS d, ST_X({_P}) AS x, ST_Y({_P}) AS y, ST_Area({_SQ}) AS a, ST_Perimeter({_SQ}) AS p, ST_Length('LINESTRING(0 0, 3 4)') AS l, ST_AsText(ST_Centroid({_SQ})) AS c, ST_DWithin({_P}, 'POINT(0 0)', 900000) AS w, ST_DWithin({_P}, 'LINESTRING(0 0, 0 9)', 5) AS v, ST_DWithin({_P}, {_P}, -1) AS m FROM nation",
+         "SELECT n_nationkey, round(sqrt(power(n_nationkey - 3, 2) + power(n_regionkey - 4, 2)), 9) AS d, CAST(n_nationkey AS DOUBLE) AS x, CAST(n_regionkey AS DOUBLE) AS y, 20.0::DOUBLE AS a, 24.0::DOUBLE AS p, 5.0::DOUBLE AS l, 'POINT(7 2)' AS c, 2 * 6371008.8::DOUBLE * asin(sqrt(power(sin(radians(n_regionkey) / 2), 2) + cos(radians(n_regionkey)) * power(sin(radians(n_nationkey) / 2), 2))) <= 900000 AS w, n_nationkey <= 5 AS v, false AS m FROM nation")
 _spatial("spatial_overlay", f"SELECT n_nationkey, ST_Area(ST_Intersection({_SQ}, concat('POLYGON((', n_nationkey, ' 0, ', n_nationkey + 1, ' 0, ', n_nationkey + 1, ' 9, ', n_nationkey, ' 9, ', n_nationkey, ' 0))'))) AS a, ST_Area(ST_Union({_SQ}, 'POLYGON((0 0, 4 0, 4 2, 0 2, 0 0))')) AS u, ST_Area(ST_Difference({_SQ}, 'POLYGON((0 0, 4 0, 4 2, 0 2, 0 0))')) AS d FROM nation",
          "SELECT n_nationkey, CASE WHEN n_nationkey >= 2 AND n_nationkey < 12 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS a, 26.0::DOUBLE AS u, 18.0::DOUBLE AS d FROM nation")
 

@@ -52,7 +52,7 @@ sql("tpch_q9", """
 SELECT n_name, o_year, round(sum(amount), 2) AS sum_profit FROM (
   SELECT n_name, year(o_orderdate) AS o_year, l_extendedprice * (1 - l_discount) - 0.5 * p_retailprice * l_quantity / 100 AS amount
   FROM part, supplier, lineitem, orders, nation
-  WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%1%') AS profit
+  WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%widget%') AS profit
 GROUP BY n_name, o_year ORDER BY n_name, o_year DESC""")
 
 sql("tpch_q10", """
