@@ -15,6 +15,8 @@ _QUERY = ("SELECT", "WITH", "VALUES", "()", "TABLE")
 #: Objects that are only defined: CREATE <kind> name ..., DROP <kind> name.
 _OBJECTS = ("DOMAIN", "TYPE", "SEQUENCE", "COLLATION", "TRANSLATION", "ASSERTION")
 _DEPTH = 16
+#: Rows of a statement that a row trigger's UPDATE, DELETE or INSERT ... SELECT runs for, each on the driver.
+_ROWS = 1_000
 
 
 class PrivilegeError(SqlError):
@@ -678,7 +680,8 @@ class Engine:
     def _fire(self, table: Table, timing: str, event: str, old: DataFrame | None, new: DataFrame | None, changed: set[str] | None = None) -> DataFrame | None:
         """Run the table's triggers over the rows of a statement; a BEFORE row trigger may SET NEW columns.
 
-        A row trigger's INSERT ... VALUES with NEW and OLD runs once for all rows as INSERT ... SELECT.
+        A row trigger's INSERT ... VALUES with NEW and OLD runs once for all rows as INSERT ... SELECT; other
+        statements with NEW and OLD run row by row, for at most _ROWS rows of a statement (more is an error).
         """
         own = [t for t in self.catalog.state.triggers.values() if t.enabled and t.table == table.name and (t.timing, t.event) == (timing, event)]
         for t in own:
@@ -714,10 +717,8 @@ class Engine:
             column = table.column(target)
             flat = self.spark.table(view).withColumn(f"new_{column.name}", F.expr(f"CASE WHEN {when} THEN {value} ELSE new_{column.name} END").cast(column.type))
             return flat.select(*[F.col(f"new_{c}").alias(c) for c in table.names], *(["_row"] if "_row" in flat.columns else []))
-        if s[0].up == "INSERT":
-            at = next((k for k, x in enumerate(s) if x.up == "VALUES"), None)
-            if at is None:
-                raise SqlError("a row trigger's INSERT needs VALUES")
+        at = next((k for k, x in enumerate(s) if x.up == "VALUES"), None) if s[0].up == "INSERT" else None
+        if at is not None:
             for row in split(s[at + 1 :]):
                 self.statement([*s[:at], *parse(f"SELECT {text_of(named(row[0].items))} FROM {view}{where}")])
             return new
@@ -725,7 +726,13 @@ class Engine:
             for _ in range(self.spark.sql(f"SELECT * FROM {view}{where}").count()):
                 self.statement(s)
             return new
-        raise SqlError("a row trigger may only INSERT or SET with NEW and OLD")
+        # Other statements see the rows that the ones before them have changed, so they run one after another.
+        hits = self.spark.sql(f"SELECT * FROM {view}{where}").limit(_ROWS + 1).collect()
+        if len(hits) > _ROWS:
+            raise SqlError(f"a row trigger's {s[0].up} runs for at most {_ROWS} rows of a statement")
+        for r in sorted(hits, key=lambda r: r["_row"]) if hits and "_row" in hits[0] else hits:
+            self.statement(_transition(s, {c: parse(literal(r[c])) for c in r.asDict() if c != "_row"}))
+        return new
 
     # Persistence --------------------------------------------------------------------------------
 
@@ -776,17 +783,19 @@ def _flat(items: list[Item]):
             yield x
 
 
-def _transition(items: list[Item]) -> list[Item]:
-    """NEW.c -> new_c, OLD.c -> old_c."""
+def _transition(items: list[Item], values: dict[str, list[Item]] | None = None) -> list[Item]:
+    """NEW.c -> new_c, OLD.c -> old_c, or their values."""
     out: list[Item] = []
+    known = {c.lower(): v for c, v in (values or {}).items()}
     k = 0
     while k < len(items):
         x = items[k]
         if x.up in ("NEW", "OLD") and k + 2 < len(items) and items[k + 1].up == ".":
-            out.append(Token("word", f"{x.up.lower()}_{name_of(items[k + 2])}"))
+            name = f"{x.up.lower()}_{name_of(items[k + 2])}"
+            out.append(Group(known[name.lower()]) if values else Token("word", name))
             k += 3
         else:
-            out.append(Group(_transition(x.items)) if isinstance(x, Group) else x)
+            out.append(Group(_transition(x.items, values)) if isinstance(x, Group) else x)
             k += 1
     return out
 

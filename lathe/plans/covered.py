@@ -129,6 +129,14 @@ _shown("show_tables", ["SHOW TABLES"], ["tab string"], "SELECT 'a' AS tab")
 script("objects", "", "CREATE TYPE t_{a} AS INTEGER; CREATE SEQUENCE q_{a} START WITH 5; ALTER SEQUENCE q_{a} INCREMENT BY 2; CREATE COLLATION c_{a} FOR UTF8; CREATE TABLE {a} (k t_{a}); INSERT INTO {a} SELECT n_nationkey FROM nation; DROP SEQUENCE q_{a}; DROP COLLATION c_{a}", "SELECT k FROM {a}", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation")
 
 
+script("trigger_row_update", _NATIONS, "CREATE TABLE {b} (r INTEGER PRIMARY KEY, n INTEGER); INSERT INTO {b} SELECT r_regionkey, 0 FROM region; CREATE TRIGGER t AFTER UPDATE ON {a} FOR EACH ROW WHEN (NEW.k < 8) UPDATE {b} SET n = n + NEW.k - OLD.r WHERE r = NEW.r; UPDATE {a} SET name = 'x' WHERE k < 12",
+       "SELECT r, n FROM {b}", "SELECT CAST(r_regionkey AS BIGINT) AS r, CAST(coalesce((SELECT sum(n_nationkey - n_regionkey) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey < 8), 0) AS BIGINT) AS n FROM region")
+script("trigger_row_delete", _NATIONS, "CREATE TABLE {b} (k INTEGER, r INTEGER); INSERT INTO {b} SELECT n_nationkey, n_regionkey FROM nation; CREATE TRIGGER t AFTER DELETE ON {a} FOR EACH ROW DELETE FROM {b} WHERE k = OLD.k + 1; DELETE FROM {a} WHERE k IN (3, 9)",
+       "SELECT k FROM {b}", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey NOT IN (4, 10)")
+script("routine_function_if", "", "CREATE FUNCTION f_{a}(x INTEGER, y INTEGER) RETURNS INTEGER BEGIN DECLARE z INTEGER DEFAULT 3; IF x > 20 THEN RETURN -1; ELSEIF x > 10 THEN SET z = 4; IF y = 2 THEN SET z = z * 10; END IF; ELSE SET y = y + 1; END IF; RETURN x * z + y; END", "SELECT n_nationkey AS k, f_{a}(n_nationkey, n_regionkey) AS v FROM nation",
+       "SELECT n_nationkey AS k, CAST(CASE WHEN n_nationkey > 20 THEN -1 WHEN n_nationkey > 10 THEN n_nationkey * (CASE WHEN n_regionkey = 2 THEN 40 ELSE 4 END) + n_regionkey ELSE n_nationkey * 3 + n_regionkey + 1 END AS BIGINT) AS v FROM nation")
+
+
 # Files --------------------------------------------------------------------------------------------
 def _round_trip(name: str, there: Callable[[DataFrame, str], None], back: Callable[[SparkSession, str, str], DataFrame]) -> None:
     """Rows written to the shared folder and read again."""

@@ -1,6 +1,6 @@
 """SQL functions and procedures.
 
-A function of one RETURN is a Spark SQL function, usable in any expression. Procedures run on the driver: control
+A function is folded into one expression, a Spark SQL function usable anywhere. Procedures run on the driver: control
 flow here, data in the statements they run.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from lathe.dialect import Rewriter
 from lathe.engine import Engine, literal
-from lathe.lexer import Group, Item, SqlError, name_of, split, text_of
+from lathe.lexer import Group, Item, SqlError, name_of, parse, split, text_of
 
 MOST_LOOPS, MOST_CALLS = 1_000_000, 100
 
@@ -51,38 +51,75 @@ def define(engine: Engine, kind: str, items: list[Item], i: int, replace: bool)
     body = next(k for k, x in enumerate(items) if x.up in ("BEGIN", "RETURN") and k > at)
     returns = engine._type([x for x in items[at + 1 : body] if x.up not in ("DETERMINISTIC", "READS", "SQL", "DATA", "NO", "CONTAINS", "NOT")])
     inner = items[body + 1 : -1] if items[body].up == "BEGIN" else items[body:]
-    steps = [s for s in split(inner, ";") if s]
-    expression = _fold(engine, steps)
+    expression = _fold(inner, {})
+    if expression is None:
+        raise SqlError("a function without RETURN")
     arguments = ", ".join(f"{name_of(p[0])} {engine._type(p[1:])}" for p in parts)
     text = f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {Rewriter(engine.variables).text(expression)}"
     engine.spark.sql(text)
     store[name] = text
 
 
-def _fold(engine: Engine, steps: list[list[Item]]) -> list[Item]:
-    """DECLARE and SET before the RETURN are put into its expression; IF ... RETURN becomes CASE."""
-    bound: dict[str, list[Item]] = {}
+def _fold(items: list[Item], bound: dict[str, list[Item]]) -> list[Item] | None:
+    """The value of a function's statements as one expression; None if they end without RETURN.
+
+    DECLARE and SET are put into what follows. IF becomes CASE: each branch is taken together with the
+    statements after END IF, so that variables a branch sets are seen there.
+    """
 
     def put(items: list[Item]) -> list[Item]:
         return [Group(put(x.items)) if isinstance(x, Group) else Group(bound[x.text.lower()]) if x.kind == "word" and x.text.lower() in bound else x for x in items]
 
-    for s in steps:
+    i = 0
+    while i < len(items):
+        if items[i].up == ";":
+            i += 1
+            continue
+        if items[i].up == "IF":
+            end = _Runner.end(items, i)
+            rest = next((k for k in range(end, len(items)) if items[k].up == ";"), len(items))
+            parts, other = [], None
+            for condition, body in _branches(items[i + 1 : end]):
+                value = _fold([*body, *parse(";"), *items[rest:]], dict(bound))
+                value = "NULL" if value is None else text_of(value)
+                if condition is None:
+                    other = value
+                else:
+                    parts.append(f"WHEN ({text_of(put(condition))}) THEN ({value})")
+            if other is None:
+                after = _fold(items[rest:], dict(bound))
+                other = "NULL" if after is None else text_of(after)
+            return parse(f"CASE {' '.join(parts)} ELSE ({other}) END")
+        end = next((k for k in range(i, len(items)) if items[k].up == ";"), len(items))
+        s, i = items[i:end], end
         if s[0].up == "DECLARE":
             at = next((k for k, x in enumerate(s) if x.up == "DEFAULT"), None)
-            bound[name_of(s[1])] = put(s[at + 1 :]) if at is not None else [*_null()]
+            bound[name_of(s[1])] = put(s[at + 1 :]) if at is not None else parse("NULL")
         elif s[0].up == "SET":
             bound[name_of(s[1])] = put(s[3:])
         elif s[0].up == "RETURN":
             return put(s[1:])
         else:
-            raise SqlError("a function's body may only DECLARE, SET and RETURN; use a procedure for control flow")
-    raise SqlError("a function without RETURN")
-
-
-def _null() -> list[Item]:
-    from lathe.lexer import parse
-
-    return parse("NULL")
+            raise SqlError("a function's body may DECLARE, SET, IF and RETURN; use a procedure for loops")
+    return None
+
+
+def _branches(items: list[Item]) -> list[tuple[list[Item] | None, list[Item]]]:
+    """(condition, statements) of what stands between IF and END; the condition of ELSE is None."""
+    out: list[tuple[list[Item] | None, list[Item]]] = []
+    condition: list[Item] | None = []
+    at = depth = 0
+    for k, x in enumerate(items):
+        if depth == 0 and x.up == "THEN":
+            condition, at = items[at:k], k + 1
+        elif depth == 0 and x.up in ("ELSEIF", "ELSE"):
+            out.append((condition, items[at:k]))
+            condition, at = None, k + 1
+        elif x.up in _Runner.OPEN and not (k and items[k - 1].up == "END"):
+            depth += 1
+        elif x.up == "END":
+            depth -= 1
+    return [*out, (condition, items[at:])]
 
 
 def call(engine: Engine, items: list[Item]) -> DataFrame | None:
@@ -130,11 +167,12 @@ class _Runner:
             i = self.step(items, i)
         return self.result
 
-    def _end(self, items: list[Item], i: int) -> int:
+    @staticmethod
+    def end(items: list[Item], i: int) -> int:
         """Index of the END that closes the construct at i."""
         depth = 0
         for k in range(i, len(items)):
-            if items[k].up in self.OPEN and not (k and items[k - 1].up == "END"):
+            if items[k].up in _Runner.OPEN and not (k and items[k - 1].up == "END"):
                 depth += 1
             elif items[k].up == "END":
                 depth -= 1
@@ -154,7 +192,7 @@ class _Runner:
             label, i = x.text.lower(), i + 2
             x = items[i]
         if x.up in self.OPEN and x.up != "CASE":
-            end = self._end(items, i)
+            end = self.end(items, i)
             after = end + 1
             while after < len(items) and items[after].up != ";":
                 after += 1
