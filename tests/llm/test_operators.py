@@ -614,6 +614,29 @@ def test_url_query_with_the_words_of_all_pages(spark, monkeypatch, most):
     assert got == want
 
 
+def test_url_names_are_split_by_all_words_of_pages(spark):
+    """More words than any fixed vocabulary, all equally frequent, and a page word with each length up to 30."""
+    d = random.Random(5)
+    words = sorted({"".join(d.choice("bdfgklmnprstvz") + d.choice("aeiou") for _ in range(3)) for _ in range(23_000)})
+    assert len(words) > 20_000
+    words += ["q" * n for n in range(2, 31)] + ["ñandú", "casino"]
+    cases = [f"http://www.{a}{b}.example.com/{c}{a}/{n}" for n, (a, b, c) in enumerate(zip(words[::900], words[7::900], words[11::900]))]
+    cases += [cases[0], cases[0], None, None, "no scheme", "http://" + "casino" * 3000 + ".com/", "http://xñandúx.org/" + "q" * 100, "http://1.2/3"]
+    rows = [(i, u, "<p>" + " ".join(words) + "</p>" if i < urls.LEAST_COUNT else "<b>once</b>" if i == 9 else None) for i, u in enumerate(cases)]
+    rows.append((0, cases[0], None))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = urls.UrlModel(dict.fromkeys(words, urls.LEAST_COUNT))
+    want = []
+    for i, u, _ in rows:
+        host, path, rule = brute_url(u)
+        split = model.tokens(host, path)
+        want.append((i, rule and rule[0] + rule[1], rule[2] if rule else "block" if model.score(split) > 0 else "allow", split, model.score(split)))
+    got = [(r["page_id"], r["rule"], r["verdict"], r["words"], r["score"]) for r in urls.filter_urls(pages).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert want[0][3] == ["www", words[0], words[7], "example", words[11], words[0]]
+    assert urls.filter_urls(pages.limit(0)).count() == 0
+
+
 def test_url_model_on_held_out_urls():
     model = urls.default_model()
     held = urls.labelled_urls(2000, seed=99)
